@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from spanwise.plans import data_problems
+from spanwise.plans import data_problems, profiles
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "clips_per_user"
 
 
 def queries() -> dict:
-    return {**data_problems.QUERIES}
+    return {**data_problems.QUERIES, **profiles.QUERIES}
 
 
 def oracles() -> dict:
-    return {**data_problems.ORACLES}
+    return {**data_problems.ORACLES, **profiles.ORACLES}
