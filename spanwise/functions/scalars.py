@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanwise.operators.arrays import let
 from spanwise.operators.fuse import utf8_truncate
 
 __all__ = ["utf8_truncate", "hms", "fixed", "clip_filename", "ass_timestamp", "escape_ass", "escape_path", "words", "followers", "time_range", "zero_pad", "safe_id", "mime", "compact", "subline", "job_time"]
@@ -16,7 +17,25 @@ def hms(sec: Column) -> Column:
 
 
 def fixed(x: Column, digits: int = 3) -> Column:
-    return F.format_string(f"%.{digits}f", x.cast("double"))
+    """Fixed decimals, rounded by the number's exact binary value (ties to even), as C's printf does.
+
+    A double is N / 2^k with whole N and k, so quotient and remainder are whole numbers too. For
+    magnitudes from 2^-9 up to 2^52; smaller ones are 0.
+    """
+    whole = lambda c: c.cast("decimal(38,0)")
+    exponent = lambda size: F.least(F.lit(62), F.greatest(F.lit(1), 53 - F.floor(F.log2(F.greatest(size, F.lit(1e-3)))))).cast("int")
+
+    def divide(v: Column) -> Column:
+        power = F.pow(F.lit(2.0), v["k"])
+        return F.struct((whole((v["size"] * power).cast("bigint")) * F.lit(10**digits).cast("decimal(6,0)")).cast("decimal(38,0)").alias("n"), whole(power.cast("bigint")).alias("p"))
+
+    def nearest(v: Column) -> Column:
+        twice = (v["n"] - whole(v["down"]) * v["p"]) * 2
+        return v["down"] + F.when((twice > v["p"]) | ((twice == v["p"]) & (v["down"] % 2 == 1)), 1).otherwise(0)
+
+    quotient = let(let(F.abs(x.cast("double")), lambda s: F.struct(s.alias("size"), exponent(s).alias("k"))), lambda v: let(divide(v), lambda d: let(F.struct(d["n"].alias("n"), d["p"].alias("p"), F.floor(d["n"] / d["p"]).cast("bigint").alias("down")), nearest)))
+    text = let(quotient, lambda q: F.concat(F.floor(q / 10**digits).cast("bigint").cast("string"), F.lit("."), F.lpad((q % 10**digits).cast("string"), digits, "0")))
+    return F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def clip_filename(index: Column, start: Column) -> Column:
@@ -44,7 +63,7 @@ def words(text: Column) -> Column:
 
 
 def followers(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%.2fM", n / 1e6)).when(n >= 1_000, F.format_string("%.2fK", n / 1e3)).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, F.concat(fixed(n / 1e6, 2), F.lit("M"))).when(n >= 1_000, F.concat(fixed(n / 1e3, 2), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def subline(handle: Column, n: Column) -> Column:
@@ -54,7 +73,7 @@ def subline(handle: Column, n: Column) -> Column:
 
 
 def time_range(start: Column, end: Column) -> Column:
-    return F.format_string("*%.2f-%.2f", start, end)
+    return F.concat(F.lit("*"), fixed(start, 2), F.lit("-"), fixed(end, 2))
 
 
 def zero_pad(n: Column, width: int) -> Column:

@@ -139,7 +139,7 @@ def romanise(texts: DataFrame, english: DataFrame, loanwords: DataFrame | None =
     stay null.
     """
     # one row per text and run; a text without a run goes straight on
-    routed = texts.withColumn("script", route(F.col("text"), F.col("lang")))
+    routed = texts.withColumn("script", F.when(F.col("text").isNotNull(), route(F.col("text"), F.col("lang"))))
     parts = routed.filter("script = 1").select("id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[{DEVA}]+|[^{DEVA}]+"), F.lit(0))).alias("pos", "run"))
     runs = parts.filter(F.col("run").rlike(f"^[{DEVA}]")).select("run").distinct().withColumn("word", devanagari_to_latin(F.col("run")))
     known = runs.join(recover_english(runs, english), "word", "left")

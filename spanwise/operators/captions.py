@@ -15,6 +15,7 @@ from pyspark.sql import window as W
 
 from spanwise.config import N_BINS, ScoreConfig
 from spanwise.functions.lexicon import DEFAULT_MARKERS, MAGNITUDES
+from spanwise.operators.arrays import let
 from spanwise.operators.greedy import greedy_top_k
 
 CFG = ScoreConfig()
@@ -74,8 +75,9 @@ def mark(cues: DataFrame, markers: Sequence[tuple[str, str, int, str]] = DEFAULT
 
 def shingles(norm: Column, k: int = CFG.shingle) -> Column:
     """Distinct runs of k words; none where there are fewer."""
-    words = F.filter(F.split(norm, " "), lambda w: w != "")
-    return F.when(F.size(words) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - k + 1)), lambda i: F.array_join(F.slice(words, i, k), " ")))).otherwise(F.array().cast("array<string>"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - k + 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
+    none = F.array().cast("array<string>")
+    return let(F.filter(F.split(norm, " "), lambda w: w != ""), lambda w: F.when(F.size(w) >= k, F.array_distinct(runs(w))).otherwise(none))
 
 
 def shingle_df(marked: DataFrame) -> DataFrame:
@@ -146,7 +148,7 @@ def window_scores(framed: DataFrame, cfg: ScoreConfig = CFG) -> DataFrame:
     paid = lambda x: (x["numeric"] > 0) | (x["payload"] > 0)
     f = "frame"
     w = framed.withColumn("numbers", F.flatten(F.transform(f, lambda x: F.array_repeat(x["start_ms"], x["numeric"].cast("int")))))
-    close = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("numbers") - 1)), lambda k: F.get("numbers", k) - F.get("numbers", k - 1) <= cfg.pair_ms)
+    close = let(F.col("numbers"), lambda ns: F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ns) - 1)), lambda k: F.get(ns, k) - F.get(ns, k - 1) <= cfg.pair_ms))
     w = w.withColumns(
         {
             "pre": _sum(f, lambda x: F.when(early(x), x["pre"]).otherwise(0)),
@@ -165,7 +167,7 @@ def window_scores(framed: DataFrame, cfg: ScoreConfig = CFG) -> DataFrame:
     four = F.coalesce((F.col("first_payload") >= F.col("first_pre")) & (F.col("last_trailing") > F.col("first_payload")), F.lit(False))
     # the hook: the first of the strongest early markers, else the last number, else the first cue
     best = F.aggregate(F.filter(f, early), F.lit(0), lambda a, x: F.greatest(a, x["pre"]))
-    strongest = F.get(F.filter(f, lambda x: early(x) & (x["pre"] == best)), 0)["cue_idx"]
+    strongest = let(best, lambda b: F.get(F.filter(f, lambda x: early(x) & (x["pre"] == b)), 0)["cue_idx"])
     number = F.filter(f, lambda x: x["numeric"] > 0)
     hook = F.coalesce(strongest, F.get(number, F.size(number) - 1)["cue_idx"], F.col("cue_idx"))
     base = F.col("pre") + F.col("payload") + F.when(F.col("pair"), cfg.w_pair).otherwise(0.0) + F.col("trailing") + F.when(F.col("cold_open"), cfg.w_cold_open).otherwise(0.0)

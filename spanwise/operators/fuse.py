@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.config import N_BINS
+from spanwise.operators.arrays import let
 
 
 def choose_profile(heat: DataFrame, captions: DataFrame, durations: DataFrame, detect: str = "fused", weight: float = 0.4) -> DataFrame:
@@ -33,7 +34,8 @@ def choose_profile(heat: DataFrame, captions: DataFrame, durations: DataFrame, d
 def caption_arrays(envelope: DataFrame) -> DataFrame:
     """(item_id, cap): the long form of an envelope as one array per item."""
     by = envelope.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "value"))).alias("m"))
-    return by.select("item_id", F.transform(F.sequence(F.lit(0), F.lit(N_BINS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("cap"))
+    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(N_BINS - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
+    return by.select("item_id", let(F.col("m"), dense).alias("cap"))
 
 
 def adopt(clips: DataFrame, candidates: DataFrame, keep_length: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.config import N_BINS, DetectConfig
+from spanwise.operators.arrays import let
 
 REGION = "struct<start_bin: int, end_bin: int, peak_score: double, peak_bin: int, centroid: double>"
 
@@ -30,7 +31,8 @@ def event_profiles(events: DataFrame, key: str, value: str | None = None) -> Dat
     bins = rows.join(span, "item_id").groupBy("item_id", "t0", "t1", at.alias("bin")).agg(weight.alias("w"))
     per = bins.groupBy("item_id", "t0", "t1").agg(F.map_from_entries(F.collect_list(F.struct("bin", "w"))).alias("by_bin"), F.max("w").alias("top"))
     duration = (F.col("t1") - F.col("t0")) / 1e6
-    vals = F.transform(F.sequence(F.lit(0), F.lit(N_BINS - 1)), lambda i: F.coalesce(F.when(F.col("top") > 0, F.try_element_at("by_bin", i) / F.col("top")), F.lit(0.0)))
+    bins = F.sequence(F.lit(0), F.lit(N_BINS - 1))
+    vals = let(F.struct("by_bin", "top"), lambda p: F.transform(bins, lambda i: F.coalesce(F.when(p["top"] > 0, F.try_element_at(p["by_bin"], i) / p["top"]), F.lit(0.0))))
     return per.select("item_id", duration.alias("duration"), (duration / N_BINS).alias("bin_seconds"), vals.alias("vals"))
 
 
@@ -41,17 +43,18 @@ def to_bins(profiles: DataFrame, values: str = "vals", out: str = "value") -> Da
 
 def candidate_mask(profiles: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame:
     """Adds ``cand``: all bins but 0, and but 1 where the profile only falls over bins 1 to 3."""
-    h = [F.get("vals", i) for i in range(4)]
-    falls = (h[1] > h[2]) & (h[2] > h[3])
-    mask = F.transform("vals", lambda _, i: F.lit(True) if cfg.keep_intro else (i > 0) & ~((i == 1) & falls))
-    return profiles.withColumn("cand", mask)
+    falls = lambda v: (F.get(v, 1) > F.get(v, 2)) & (F.get(v, 2) > F.get(v, 3))
+    mask = lambda p: F.transform(p["v"], lambda _, i: F.lit(True) if cfg.keep_intro else (i > 0) & ~((i == 1) & p["falls"]))
+    return profiles.withColumn("cand", let(F.col("vals"), lambda v: let(F.struct(v.alias("v"), falls(v).alias("falls")), mask)))
 
 
 def smooth(profiles: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame:
     """Adds ``hs``: weights 1-2-1 over neighbours, where bins are finer than a minute; ends stay."""
-    mean = lambda v, i: (F.get("vals", i - 1) + 2.0 * v + F.get("vals", i + 1)) / 4.0
-    fine = F.col("bin_seconds") < cfg.smooth_below_sec
-    return profiles.withColumn("hs", F.transform("vals", lambda v, i: F.when(fine & (i > 0) & (i < N_BINS - 1), mean(v, i)).otherwise(v)))
+    def weigh(p: Column) -> Column:
+        v, fine = p["v"], p["w"] < cfg.smooth_below_sec
+        return F.transform(v, lambda x, i: F.when(fine & (i > 0) & (i < N_BINS - 1), (F.get(v, i - 1) + 2.0 * x + F.get(v, i + 1)) / 4.0).otherwise(x))
+
+    return profiles.withColumn("hs", let(F.struct(F.col("vals").alias("v"), F.col("bin_seconds").alias("w")), weigh))
 
 
 def robust_stats(profiles: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame:
@@ -60,58 +63,68 @@ def robust_stats(profiles: DataFrame, cfg: DetectConfig = DetectConfig()) -> Dat
     ``ratio`` is top over median (or 1000 times the top where the median is not positive), ``flat``
     whether it is below 2; t and t_low are null where the top is no peak at all.
     """
-    zero = F.lit(0.0)
-    total = lambda xs, f: F.aggregate(xs, zero, lambda a, x: a + f(x))
-    kept = profiles.withColumn("c", F.array_sort(F.filter("hs", lambda _, i: F.get("cand", i))))
-    n = F.size("c")
-    half = F.floor(n / 2).cast("int")
-    kept = kept.withColumn("median", F.when(n == 0, F.lit(None)).when(n % 2 == 1, F.get("c", half)).otherwise((F.get("c", half - 1) + F.get("c", half)) / 2.0))
-    in_order = F.filter("hs", lambda _, i: F.get("cand", i))
-    kept = kept.withColumn("mean", total(in_order, lambda x: x) / n)
-    kept = kept.withColumn("sd", F.sqrt(total(in_order, lambda x: (x - F.col("mean")) * (x - F.col("mean"))) / n)).withColumn("top", F.array_max("c"))
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
+    in_order = lambda p: F.filter(p["hs"], lambda _, i: F.get(p["cand"], i))
+
+    def figures(c: Column) -> Column:
+        n = F.size(c)
+        half = F.floor(n / 2).cast("int")
+        middle = lambda s: F.when(n % 2 == 1, F.get(s, half)).otherwise((F.get(s, half - 1) + F.get(s, half)) / 2.0)
+        mean = total(c, lambda x: x) / n
+        sd = let(mean, lambda m: F.sqrt(total(c, lambda x: (x - m) * (x - m)) / n))
+        return F.struct(let(F.array_sort(c), middle).alias("median"), mean.alias("mean"), sd.alias("sd"), F.array_max(c).alias("top"))
+
+    stats = let(F.struct("hs", "cand"), lambda p: let(in_order(p), lambda c: F.when(F.size(c) > 0, figures(c))))
+    kept = profiles.withColumn("stats", stats).withColumns({k: F.col(f"stats.{k}") for k in ("median", "mean", "sd", "top")}).drop("stats")
     kept = kept.withColumn("ratio", F.when(F.col("median") > 0, F.col("top") / F.col("median")).otherwise(F.col("top") * 1000.0))
     t = F.when(F.col("top") >= cfg.least_peak, F.greatest(F.col("median") + cfg.sd_factor * F.col("sd"), cfg.max_share * F.col("top")))
-    return kept.withColumn("flat", F.col("ratio") < cfg.flat_ratio).withColumn("t", t).withColumn("t_low", cfg.low_share * F.col("t")).drop("c")
+    return kept.withColumn("flat", F.col("ratio") < cfg.flat_ratio).withColumn("t", t).withColumn("t_low", cfg.low_share * F.col("t"))
 
 
 def raw_regions(profiles: DataFrame) -> DataFrame:
     """Adds ``runs``: maximal runs (lo, hi) of candidate bins at t_low or above that reach t somewhere."""
-    on = lambda i: F.coalesce(F.get("cand", i) & (F.get("hs", i) >= F.col("t_low")), F.lit(False))
+    def runs(p: Column) -> Column:
+        lows = F.filter(p["bins"], lambda i: F.get(p["on"], i) & ((i == 0) | ~F.get(p["on"], i - 1)))
+        highs = F.filter(p["bins"], lambda i: F.get(p["on"], i) & ((i == N_BINS - 1) | ~F.get(p["on"], i + 1)))
+        reaches = lambda r: F.exists(F.slice(p["hs"], r["lo"] + 1, r["hi"] - r["lo"] + 1), lambda v: v >= p["t"])
+        return F.filter(F.zip_with(lows, highs, lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))), reaches)
+
+    on = let(F.struct("hs", "cand", "t_low"), lambda p: F.zip_with(p["hs"], p["cand"], lambda v, c: F.coalesce(c & (v >= p["t_low"]), F.lit(False))))
     bins = F.sequence(F.lit(0), F.lit(N_BINS - 1))
-    lows = F.filter(bins, lambda i: on(i) & ((i == 0) | ~on(i - 1)))
-    highs = F.filter(bins, lambda i: on(i) & ((i == N_BINS - 1) | ~on(i + 1)))
-    runs = F.zip_with(lows, highs, lambda a, b: F.struct(a.alias("lo"), b.alias("hi")))
-    reaches = lambda r: F.exists(F.slice("hs", r["lo"] + 1, r["hi"] - r["lo"] + 1), lambda v: v >= F.col("t"))
-    return profiles.withColumn("runs", runs).withColumn("runs", F.filter("runs", reaches))
+    return profiles.withColumn("runs", let(F.struct("hs", "t", on.alias("on"), bins.alias("bins")), runs))
 
 
 def merge_runs(profiles: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame:
     """Joins runs with at most ``merge_gap`` bins between them."""
     apart = lambda a, b: b["lo"] - a["hi"] - 1 > cfg.merge_gap
-    first = F.filter("runs", lambda r, i: (i == 0) | apart(F.get("runs", i - 1), r))
-    last = F.filter("runs", lambda r, i: (i == F.size("runs") - 1) | apart(r, F.get("runs", i + 1)))
-    return profiles.withColumn("runs", F.zip_with(first, last, lambda a, b: F.struct(a["lo"].alias("lo"), b["hi"].alias("hi"))))
+
+    def joined(r: Column) -> Column:
+        first = F.filter(r, lambda x, i: (i == 0) | apart(F.get(r, i - 1), x))
+        last = F.filter(r, lambda x, i: (i == F.size(r) - 1) | apart(x, F.get(r, i + 1)))
+        return F.zip_with(first, last, lambda a, b: F.struct(a["lo"].alias("lo"), b["hi"].alias("hi")))
+
+    return profiles.withColumn("runs", let(F.col("runs"), joined))
 
 
 def score_runs(profiles: DataFrame) -> DataFrame:
     """Adds ``regions``: each run's peak, the first bin that has it, and its weighted centre in time."""
 
-    def region(r: Column) -> Column:
-        bins = F.sequence(r["lo"], r["hi"])
-        value = F.slice("hs", r["lo"] + 1, r["hi"] - r["lo"] + 1)
+    def region(p: Column, r: Column) -> Column:
+        value = F.slice(p["hs"], r["lo"] + 1, r["hi"] - r["lo"] + 1)
         peak = F.array_max(value)
         weight = F.aggregate(value, F.lit(0.0), lambda a, v: a + v)
-        moment = F.aggregate(bins, F.lit(0.0), lambda a, k: a + (k + 0.5) * F.col("bin_seconds") * F.get("hs", k))
-        centroid = F.when(weight > 0, moment / weight).otherwise((r["lo"] + 0.5) * F.col("bin_seconds"))
+        moment = F.aggregate(F.sequence(r["lo"], r["hi"]), F.lit(0.0), lambda a, k: a + (k + 0.5) * p["bin_seconds"] * F.get(p["hs"], k))
+        centroid = F.when(weight > 0, moment / weight).otherwise((r["lo"] + 0.5) * p["bin_seconds"])
         return F.struct(
             r["lo"].alias("start_bin"),
             r["hi"].alias("end_bin"),
             peak.alias("peak_score"),
             (r["lo"] + F.array_position(value, peak) - 1).cast("int").alias("peak_bin"),
-            F.least(centroid, F.col("duration")).alias("centroid"),
+            F.least(centroid, p["duration"]).alias("centroid"),
         )
 
-    return profiles.withColumn("regions", F.transform("runs", region).cast(f"array<{REGION}>"))
+    found = let(F.struct("hs", "runs", "bin_seconds", "duration"), lambda p: F.transform(p["runs"], lambda r: region(p, r)))
+    return profiles.withColumn("regions", found.cast(f"array<{REGION}>"))
 
 
 def detect(profiles: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from spanwise.config import SubtitleConfig
 from spanwise.functions.scalars import ass_timestamp, escape_ass, words
+from spanwise.operators.arrays import let
 
 
 def trim_to_clips(cues: DataFrame, clips: DataFrame, offset: float = 0.0) -> DataFrame:
@@ -24,20 +25,23 @@ def split_words(text: Column, start: Column, end: Column, cfg: SubtitleConfig =
     """Array of (text, start_sec, end_sec): as few parts as the words per cue allow, of nearly equal
     word counts, sharing the time evenly; a part of more words than a line holds has two lines."""
     most, line = max(1, cfg.words_per_cue), max(1, cfg.words_per_line)
-    w = words(text)
-    n = F.size(w)
-    parts = F.ceil(n / most).cast("int")
-    base, extra = F.floor(n / parts).cast("int"), (n % parts).cast("int")
-
-    def part(i: Column) -> Column:
-        take = base + F.when(i < extra, 1).otherwise(0)
-        own = F.slice(w, i * base + F.least(i, extra) + 1, take)
-        top = F.ceil(take / 2).cast("int")
-        two = F.concat(F.array_join(F.slice(own, 1, top), " "), F.lit("\\N"), F.array_join(F.slice(own, top + 1, take), " "))
-        return F.struct(F.when(take <= line, F.array_join(own, " ")).otherwise(two).alias("text"), (start + (end - start) * i / parts).alias("start_sec"), (start + (end - start) * (i + 1) / parts).alias("end_sec"))
-
-    ok = (n > 0) & (end > start)
-    return F.when(ok, F.transform(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1), part)).otherwise(F.array().cast("array<struct<text: string, start_sec: double, end_sec: double>>"))
+    none = F.array().cast("array<struct<text: string, start_sec: double, end_sec: double>>")
+
+    def parts(w: Column) -> Column:
+        n = F.size(w)
+        count = F.ceil(n / most).cast("int")
+        base, extra = F.floor(n / count).cast("int"), (n % count).cast("int")
+
+        def part(i: Column) -> Column:
+            take = base + F.when(i < extra, 1).otherwise(0)
+            own = F.slice(w, i * base + F.least(i, extra) + 1, take)
+            top = F.ceil(take / 2).cast("int")
+            two = F.concat(F.array_join(F.slice(own, 1, top), " "), F.lit("\\N"), F.array_join(F.slice(own, top + 1, take), " "))
+            return F.struct(F.when(take <= line, F.array_join(own, " ")).otherwise(two).alias("text"), (start + (end - start) * i / count).alias("start_sec"), (start + (end - start) * (i + 1) / count).alias("end_sec"))
+
+        return F.when((n > 0) & (end > start), F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), part)).otherwise(none)
+
+    return let(words(text), parts)
 
 
 def split_cues(cues: DataFrame, keys: list[str], cfg: SubtitleConfig = SubtitleConfig()) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from spanwise.plans import data_problems, profiles
+from spanwise.plans import data_problems, profiles, texts
 
 FLAGSHIP = "clips_per_user"
 
 
 def queries() -> dict:
-    return {**data_problems.QUERIES, **profiles.QUERIES}
+    return {**data_problems.QUERIES, **profiles.QUERIES, **texts.QUERIES}
 
 
 def oracles() -> dict:
-    return {**data_problems.ORACLES, **profiles.ORACLES}
+    return {**data_problems.ORACLES, **profiles.ORACLES, **texts.ORACLES}

@@ -240,7 +240,7 @@ ORACLES = {
     "clips_fixed_length": f"{_P}{_GREEDY.format(gap='30.0', k=3, len='30.0::DOUBLE')} SELECT item_id, clip_index, peak_bin, round(start_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec FROM cl",
     "clips_labelled": f"{_C}, {_CHAPTERS} SELECT cl.item_id, clip_index, coalesce(arg_min(title, chapter_idx), '') AS label FROM cl LEFT JOIN ch ON ch.item_id = cl.item_id AND ch.start_sec <= centroid AND centroid < ch.end_sec GROUP BY 1, 2",
     "download_strategy": f"{_UC} SELECT item_id, count(*) AS clips, round(sum(end_sec - start_sec), 6) AS clip_sec, CASE WHEN count(*) >= 2 AND any_value(duration) > 900 AND sum(end_sec - start_sec) < 0.3 * any_value(duration) THEN 'per_clip' ELSE 'full' END AS strategy FROM cl GROUP BY 1",
-    "section_windows": f"{_C}{_SECTIONS} SELECT item_id, clip_index, round(src_start, 6) AS src_start, round(src_end, 6) AS src_end, lpad(CAST(clip_index AS VARCHAR), len(CAST(most AS VARCHAR)), '0') AS stem FROM sec",
+    "section_windows": f"{_C}{_SECTIONS} SELECT item_id, clip_index, round(src_start, 6) AS src_start, round(src_end, 6) AS src_end, lpad(CAST(clip_index AS VARCHAR), CAST(len(CAST(most AS VARCHAR)) AS INTEGER), '0') AS stem FROM sec",
     "section_times": f"{_C}{_SECTIONS}, org AS (SELECT a.item_id, a.clip_index, arg_min(b.src_start, b.clip_index) AS origin FROM sec a JOIN sec b ON a.item_id = b.item_id AND b.src_start <= a.start_sec AND a.end_sec <= b.src_end GROUP BY 1, 2) SELECT item_id, clip_index, round(start_sec - coalesce(origin, 0), 6) AS start_sec, round(end_sec - coalesce(origin, 0), 6) AS end_sec FROM sec LEFT JOIN org USING (item_id, clip_index)",
     "sparkline": f"{_P} SELECT item_id, string_agg(substr(' .,-=+*#%@', CAST(floor(least(greatest(value, 0), 1) * 9 + 0.5) AS INTEGER) + 1, 1), '' ORDER BY bin) AS spark FROM prof GROUP BY 1",
     "info_json_valid": f"WITH {_VALID} SELECT record_id, {_TEXT.format('id')} AS video_id, {_TEXT.format('title')} AS title, round({_NUM.format(chr(98) + 'ody, ' + repr('$.duration'))}, 6) AS duration, coalesce(json_extract_string(body, '$.is_live') = 'true', false) OR {_TEXT.format('live_status')} IN ('is_live', 'is_upcoming', 'post_live') AS is_live, CAST({_NUM.format(chr(98) + 'ody, ' + repr('$.channel_follower_count'))} AS BIGINT) AS follower_count, CASE WHEN json_type(body, '$.chapters') = 'ARRAY' THEN CAST(json_array_length(body, '$.chapters') AS INTEGER) ELSE 0 END AS chapters, n = 100 AS has_profile FROM j WHERE n = 0 OR n = 100",

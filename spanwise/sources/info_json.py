@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.config import N_BINS
+from spanwise.operators.arrays import once
 
 _NUMBER = r"^\s*[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 
@@ -34,7 +35,7 @@ def parse(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     Absent, null, empty and non-array heatmaps are no profile (null ``vals``), which is valid.
     Numbers may be texts; members of another type count as absent.
     """
-    rows = df.select(F.col(id_col), F.try_parse_json(F.col(body_col)).alias("v"))
+    rows = once(df.select(F.col(id_col), F.try_parse_json(F.col(body_col)).alias("v")), "v")
     rows = rows.withColumn("v", F.when(F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), F.col("v")))
     part = lambda name: F.try_variant_get("v", f"$['{name}']", "variant")
     rows = rows.select(id_col, "v", F.try_variant_get("v", "$.heatmap", "array<variant>").alias("heat"), F.try_variant_get("v", "$.chapters", "array<variant>").alias("chap"), F.json_object_keys(F.to_json("v")).alias("keys"), _kind(part("id")).alias("id_kind"))
@@ -49,7 +50,7 @@ def parse(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     live_status = _member("v", "live_status")
     url = F.when(F.array_contains("keys", "uploader_url"), _member("v", "uploader_url")).otherwise(_member("v", "channel_url"))
     chapters = F.transform("chap", lambda x: F.struct(field(x, "start_time").alias("start_sec"), field(x, "end_time").alias("end_sec"), F.coalesce(F.try_variant_get(x, "$.title", "string"), F.lit("")).alias("title")))
-    return rows.select(
+    out = rows.select(
         id_col,
         reason.alias("reason"),
         _member("v", "id").alias("video_id"),
@@ -66,6 +67,7 @@ def parse(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
         vals.alias("vals"),
         F.when(width > 0, width).when((size == N_BINS) & (duration > 0), duration / N_BINS).otherwise(width).alias("bin_seconds"),
     )
+    return once(out, *(c for c in out.columns if c != id_col))
 
 
 def profiles(parsed: DataFrame, id_col: str) -> DataFrame:
