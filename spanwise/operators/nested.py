@@ -55,7 +55,7 @@ def walk(root: object, members: bool = True) -> Iterator[tuple[str, str, str, st
         below: list[tuple[object, str, str, str, str, int]] = []
         # objects and arrays reached from this element without crossing another array element;
         # an array directly inside an array has no name, so its elements belong to no named group
-        inner: list[tuple[object, str, str, str, str, str]] = [(value, "", path, group, "", parent)]
+        inner: list[tuple[object, str, str, str, str, str]] = [(value, "", path, group, "", parent or "$")]
         while inner:
             node, rel, at, at_group, name, holder = inner.pop()
             if isinstance(node, dict):
@@ -70,7 +70,8 @@ def walk(root: object, members: bool = True) -> Iterator[tuple[str, str, str, st
                         nested.append((x, f"{rel}{key}.", base + key, group_base + key, key, at))
                 inner.extend(reversed(nested))
             elif isinstance(node, list):
-                below.extend((x, f"{at_group}[]", name, f"{at}[{i}]", holder, i) for i, x in enumerate(node))
+                base, group_base = "" if at == "$" else at, "" if at_group == "$" else at_group
+                below.extend((x, f"{group_base}[]", name, f"{base}[{i}]", holder, i) for i, x in enumerate(node))
             elif members:
                 triples.append((rel or "$value", _text(node)))
         kind = "object" if isinstance(value, dict) else "array" if isinstance(value, list) else "scalar"

@@ -26,7 +26,7 @@ def brute_nodes(value, path="$", name="", found=None):
             else:
                 brute_nodes(x, at, k, found)
     elif isinstance(value, list):
-        brute_list(value, path, "$", "", found)
+        brute_list(value, "" if path == "$" else path, "$", "", found)
     return found
 
 
@@ -64,7 +64,7 @@ def test_nested_odd_input(spark):
     nodes = nested_nodes(df, "record_id", "body")
     paths = [(r["record_id"], r["child_path"], r["parent_path"], r["kind"]) for r in nodes.collect()]
     assert (5, "[0].chapters[0]", "[0]", "object") in paths and (None, "links[0]", "$", "object") in paths
-    assert paths.count((7, "chapters[1]", "$", "object")) == 2 and (7, "chapters[0]", "$", "scalar") in paths and (8, "$", "$", "scalar") in paths
+    assert paths.count((7, "chapters[1]", "$", "object")) == 2 and (7, "chapters[0]", "$", "scalar") in paths and (8, "$", "", "scalar") in paths
     assert sorted(r[0] for r in unparsed(df, "record_id", "body").collect()) == [1, 2, 3, 4, 6]
     flat = flat_table(nodes, "record_id", "chapters", {"start_time": "double", "title": "string"}).filter("record_id = 7").collect()
     assert [(r["ordinal"], r["start_time"], r["title"]) for r in flat] == [(1, 2.0, None)] * 2
