@@ -43,7 +43,7 @@ MIN_EVIDENCE = 0.2
 # sound marks and speaker signs
 _MARK = re.compile(r"\[[^\]]*\]")
 # what is no letter or mark among the other characters; ASCII is dealt with by _BYTES
-_SIGN = re.compile("[^\\w\x00-\x7f\u0300-\u036f\u0600-\u06ff\u0900-\u0dff\u200c\u200d]|[\u06d4\u060c\u061b\u061f\u0964\u0965\u0660-\u0669\u06f0-\u06f9\u0966-\u096f]")
+_SIGN = re.compile("[^\\w\x00-\x7f\u0300-\u036f\u0600-\u06ff\u0900-\u0dff]|[\u06d4\u060c\u061b\u061f\u0964\u0965\u0660-\u0669\u06f0-\u06f9\u0966-\u096f]")
 #: Words of every language.
 _NEUTRAL = frozenset((b"ok", b"okay"))
 # letters and apostrophes stay, other ASCII parts words; bytes beyond ASCII belong to letters
@@ -55,7 +55,7 @@ def words_of(text: str) -> list[bytes]:
     if "[" in text:
         text = _MARK.sub(" ", text)
     if not text.isascii():
-        text = _SIGN.sub(" ", text.replace("’", "'"))
+        text = _SIGN.sub(" ", text.replace("’", "'").replace("\u200d", "").replace("\u200c", ""))
     return text.lower().encode().translate(_BYTES).split()
 
 

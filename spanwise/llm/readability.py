@@ -22,10 +22,10 @@ MAX_SAMPLES = 2_000
 #: Vowels, vowel pairs spoken as one syllable, and endings that are silent.
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ"
 _RULES = {
-    "en": (r"[aeiouy]+", r"(?:(?<=[aeiouy][^aeiouyl])|(?<=[aeiouy][^aeiouy][^aeiouyl])|(?<=[aeiouy]l))e[sd]?$", r"i[ao](?!us)|ua|uo|eo|ie(?=t)|(?<=[^aeiouyq])ue(?=[^$])"),
+    "en": (r"[aeiouy]+", r"(?<![td])ed$|(?<=[^aeiouyl])e$|(?<=[aeiouy]l)e$|(?<=[^sxzhgc])es$", r"(?<![tcsgx])i[ao]|(?<![qg])u[ao]|(?<=[aeiouy][^aeiouy])ea$"),
     "de": (r"[aeiouyäöü]", r"$^", r""),
     "fr": (r"[aeiouyàâäæéèêëîïôöœùûüÿ]+", r"(?<=[^aeiouyàâéèêîôû])(?:e|es|ent)$", r"[iu][oaéè]|éa|éo|oé"),
-    "es": (r"[aeiouyáéíóúü]+", r"$^", r"[aeoáéó][aeoáéó]|í[aeo]|[aeo]í|ú[aeo]|[aeo]ú"),
+    "es": (r"[aeiouáéíóúü]+", r"$^", r"[aeoáéó][aeoáéó]|í[aeo]|[aeo]í|ú[aeo]|[aeo]ú"),
 }
 _GERMAN_PAIRS = re.compile(r"ei|ai|au|eu|äu|ie|oo|ee|aa")
 
