@@ -117,10 +117,12 @@ def prior(mid: Column, duration: Column) -> Column:
 
 
 def frames(marked: DataFrame, items: DataFrame, echoes: DataFrame, cfg: ScoreConfig = CFG) -> DataFrame:
-    """(item_id, cue_idx, start_ms, duration_ms, frame): every window start with the cues ahead.
+    """(item_id, cue_idx, start_ms, duration_ms, masked, last_end, frame): every window start.
 
-    ``frame`` holds the cues that begin within the window, in order; of cues that begin together
-    those before the first one are not in it. Windows with less than 15 seconds left are left out.
+    ``frame`` holds the cues with any hit that begin within the window, in order; of cues that begin
+    together those before the first one are not in it. Cues without hits add nothing to a score, so
+    they are not gathered; ``last_end`` is the end of the window's last cue, hit or not. Windows
+    with less than 15 seconds left are left out.
     """
     flags = marked.join(echoes.withColumn("echo", F.lit(True)), ["item_id", "cue_idx"], "left").withColumn("echo", F.coalesce("echo", F.lit(False)))
     cue = F.struct("start_ms", "cue_idx", "end_ms", "pre", "payload", "trailing", "numeric", "negative", "echo", "signals")
@@ -132,11 +134,17 @@ def frames(marked: DataFrame, items: DataFrame, echoes: DataFrame, cfg: ScoreCon
     spread = flags.join(items, "item_id").select("item_id", "duration_ms", cue.alias("cue"), own.alias("own"), F.explode(buckets).alias("bucket"))
     w = W.Window.partitionBy("item_id", "bucket").orderBy("cue.start_ms")
     span = w.rangeBetween(0, cfg.window_ms - 1)
-    # a promo's span is open at both ends: it begins 5 s before its cue and ends 30 s after it
-    promo = F.max("cue.negative").over(w.rangeBetween(1 - back, ahead - 1))
-    framed = spread.withColumn("frame", F.collect_list("cue").over(span)).withColumn("masked", promo).filter(F.col("bucket") == F.col("own"))
+    hit = (F.size("cue.signals") > 0) | (F.col("cue.numeric") > 0) | F.col("cue.echo")
+    framed = spread.withColumns(
+        {
+            "frame": F.collect_list(F.when(hit, F.col("cue"))).over(span),
+            "last": F.max(F.struct("cue.start_ms", "cue.cue_idx", "cue.end_ms")).over(span),
+            # a promo's span is open at both ends: it begins 5 s before its cue and ends 30 s after it
+            "masked": F.max("cue.negative").over(w.rangeBetween(1 - back, ahead - 1)),
+        }
+    ).filter(F.col("bucket") == F.col("own"))
     mine = F.array_sort(F.filter("frame", lambda x: (x["start_ms"] > F.col("cue.start_ms")) | (x["cue_idx"] >= F.col("cue.cue_idx"))))
-    rows = framed.select("item_id", "cue.cue_idx", "cue.start_ms", "duration_ms", "masked", mine.alias("frame"))
+    rows = framed.select("item_id", "cue.cue_idx", "cue.start_ms", "duration_ms", "masked", F.col("last.end_ms").alias("last_end"), mine.alias("frame"))
     return rows.filter(F.col("start_ms") + cfg.least_window_ms <= F.col("duration_ms"))
 
 
@@ -160,7 +168,6 @@ def window_scores(framed: DataFrame, cfg: ScoreConfig = CFG) -> DataFrame:
             "first_payload": _first(f, paid),
             "first_echo": _first(f, lambda x: x["echo"]),
             "last_trailing": F.element_at(F.concat(F.array(F.lit(None).cast("bigint")), F.transform(F.filter(f, late), lambda x: x["start_ms"])), -1),
-            "last_end": F.element_at(f, -1)["end_ms"],
             "signals": F.array_sort(F.array_distinct(F.flatten(F.transform(f, lambda x: x["signals"])))),
         }
     )

@@ -10,7 +10,7 @@ from spanwise.functions import text as txt
 from spanwise.functions.lexicon import DEFAULT_MARKERS, MAGNITUDES
 from spanwise.operators import captions, fuse, planning, profile, subtitles
 from spanwise.plans.adapters import caption_cues, caption_profiles, cue_durations, document_cues
-from spanwise.session import table
+from spanwise.session import materialize, table
 from spanwise.sources import sinks, vtt
 
 
@@ -104,17 +104,17 @@ def caption_nms(spark: SparkSession, d: str) -> DataFrame:
     return captions.candidates(_windows(spark, d)).select("item_id", "rank", *_r("start_sec", "end_sec", "score"))
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return captions.with_hooks(captions.candidates(_windows(spark, d)), caption_cues(spark, d))
+def _candidates(spark: SparkSession, d: str, windows: DataFrame | None = None) -> DataFrame:
+    return captions.with_hooks(captions.candidates(windows or _windows(spark, d)), caption_cues(spark, d))
 
 
 def captions_json(spark: SparkSession, d: str) -> DataFrame:
     return sinks.captions_json(_candidates(spark, d), "fused", 0.4)
 
 
-def _chosen(spark: SparkSession, d: str, detect: str = "fused") -> DataFrame:
+def _chosen(spark: SparkSession, d: str, windows: DataFrame | None = None) -> DataFrame:
     heat, durations = caption_profiles(spark, d)
-    return fuse.choose_profile(heat, fuse.caption_arrays(captions.envelope(_windows(spark, d))), durations, detect)
+    return fuse.choose_profile(heat, fuse.caption_arrays(captions.envelope(windows or _windows(spark, d))), durations)
 
 
 def profile_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -131,18 +131,23 @@ def profile_mode_heatmap(spark: SparkSession, d: str) -> DataFrame:
     return fuse.choose_profile(heat, none, durations, "heatmap").select("item_id", "mode")
 
 
-def _planned(spark: SparkSession, d: str) -> DataFrame:
-    clips = planning.plan(profile.detect(_chosen(spark, d).filter("mode != 'rejected'")), PlanConfig())
+def _planned(spark: SparkSession, d: str, windows: DataFrame | None = None) -> DataFrame:
+    clips = planning.plan(profile.detect(_chosen(spark, d, windows).filter("mode != 'rejected'")), PlanConfig())
     return clips.withColumn("label", F.lit(""))
 
 
+def _adopted(spark: SparkSession, d: str) -> DataFrame:
+    # windows serve both the envelope and the candidates, clips all that follows: each is kept once
+    windows = materialize(_windows(spark, d))
+    return materialize(fuse.adopt(_planned(spark, d, windows), _candidates(spark, d, windows)))
+
+
 def clip_adoption(spark: SparkSession, d: str) -> DataFrame:
-    return fuse.adopt(_planned(spark, d), _candidates(spark, d)).select("item_id", "clip_index", *_r("start_sec", "end_sec"), "label")
+    return _adopted(spark, d).select("item_id", "clip_index", *_r("start_sec", "end_sec"), "label")
 
 
 def clip_snap(spark: SparkSession, d: str) -> DataFrame:
-    adopted = fuse.adopt(_planned(spark, d), _candidates(spark, d))
-    return fuse.snap(adopted, _clean(spark, d)).select("item_id", "clip_index", *_r("start_sec", "end_sec"))
+    return fuse.snap(_adopted(spark, d), _clean(spark, d)).select("item_id", "clip_index", *_r("start_sec", "end_sec"))
 
 
 def subtitle_split(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +161,7 @@ def subtitle_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subtitle_files(spark: SparkSession, d: str) -> DataFrame:
-    cut = subtitles.trim_to_clips(_clean(spark, d), _planned(spark, d))
+    cut = subtitles.trim_to_clips(_clean(spark, d), materialize(_planned(spark, d)))
     parts = subtitles.split_cues(cut, ["item_id", "clip_index", "cue_idx"])
     return subtitles.ass_text(subtitles.chain(parts, ["item_id", "clip_index"], ["cue_idx", "part"]), ["item_id", "clip_index"])
 
