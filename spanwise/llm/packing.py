@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 #: Items in a block at most, on average; bounds a task's work and memory.
 BLOCK_ITEMS = 10_000
 #: Rounds of local search at most; each stops early when a round improves nothing.
-ROUNDS = 4
+ROUNDS = 12
 #: Partners looked at for one item of a container.
-LOOK = 6
+LOOK = 24
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
