@@ -94,7 +94,7 @@ def error_hint(text: Column) -> Column:
 
 def language_order(wanted: Column, preferred: Column) -> Column:
     """Languages in the order to try: the item's own first, unless the list begins with it; "en" if none."""
-    listed = F.filter(F.transform(F.split(preferred, ","), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(F.split(preferred, ","), lambda x: F.trim(x)), lambda x: x != "")
     listed = F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("en")))
     own = F.coalesce(wanted, F.lit("")) != ""
     return F.when(own & ~preferred.startswith(wanted), F.concat(F.array(wanted), listed)).otherwise(listed)
