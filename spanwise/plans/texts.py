@@ -73,6 +73,15 @@ def shingle_df(spark: SparkSession, d: str) -> DataFrame:
     return captions.shingle_df(captions.mark(_clean(spark, d))).select("item_id", "shingle", "df")
 
 
+def shingles(spark: SparkSession, d: str) -> DataFrame:
+    return captions.mark(_clean(spark, d)).select("item_id", "cue_idx", F.explode(captions.shingles(F.col("norm"))).alias("shingle"))
+
+
+def position_prior(spark: SparkSession, d: str) -> DataFrame:
+    rows = _clean(spark, d).join(_items(spark, d), "item_id")
+    return rows.select("item_id", "cue_idx", captions.prior((F.col("start_ms") + F.col("end_ms")) / 2.0, F.col("duration_ms")).alias("prior"))
+
+
 def cold_open_echo(spark: SparkSession, d: str) -> DataFrame:
     return captions.cold_open_echoes(captions.mark(_clean(spark, d)), _items(spark, d))
 
@@ -192,7 +201,7 @@ def fuzzy_recover(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cues_clean, caption_usable, cue_lines, cue_dedupe, cue_normalised, marker_hits, numeric_payloads, shingle_df, cold_open_echo, cold_open_documents, forward_windows, four_beat, promo_mask,
+        cues_clean, caption_usable, cue_lines, cue_dedupe, cue_normalised, marker_hits, numeric_payloads, shingles, position_prior, shingle_df, cold_open_echo, cold_open_documents, forward_windows, four_beat, promo_mask,
         caption_envelope, caption_nms, captions_json, profile_fusion, profile_mode, profile_mode_heatmap, clip_adoption, clip_snap, subtitle_split, subtitle_chain, subtitle_files,
         script_detect, romanise_sound, romanise, fuzzy_recover,
     )
@@ -252,6 +261,8 @@ ORACLES = {
     "cue_normalised": f"WITH {_MARKED} SELECT item_id, cue_idx, norm FROM mk",
     "marker_hits": f"WITH {_MARKED} SELECT item_id, cue_idx, CAST(pre AS INTEGER) AS pre, CAST(payload AS INTEGER) AS payload, CAST(trail AS INTEGER) AS \"trailing\", negative, signals FROM mk WHERE signals IS NOT NULL",
     "numeric_payloads": f"WITH {_MARKED} SELECT item_id, cue_idx, CAST(numeric AS INTEGER) AS numeric FROM mk WHERE numeric > 0",
+    "shingles": f"WITH {_MARKED}, {_SHINGLES} SELECT item_id, cue_idx, shingle FROM sh",
+    "position_prior": f"WITH {_CUES}, p AS (SELECT item_id, cue_idx, 100.0::DOUBLE * ((start_ms + end_ms) / 2.0::DOUBLE) / duration_ms AS pct FROM cu JOIN it USING (item_id)) SELECT item_id, cue_idx, CASE WHEN pct < 10 THEN 1.0 WHEN pct < 30 THEN 0.85 WHEN pct < 60 THEN 1.1 WHEN pct < 90 THEN 1.15 ELSE 1.0 END::DOUBLE AS prior FROM p",
     "shingle_df": f"WITH {_MARKED}, {_SHINGLES} SELECT item_id, shingle, df FROM df",
     "cold_open_echo": f"WITH {_MARKED}, {_SHINGLES} SELECT item_id, cue_idx FROM ec",
     "forward_windows": f"WITH {_WINDOWS} SELECT item_id, cue_idx, round(start_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec, round(score, 6) AS score, four_beat, masked, hook_idx FROM w",
