@@ -11,7 +11,7 @@ from spanwise.functions.lexicon import DEFAULT_MARKERS, MAGNITUDES
 from spanwise.operators import captions, fuse, planning, profile, subtitles
 from spanwise.plans.adapters import caption_cues, caption_profiles, cue_durations, document_cues
 from spanwise.session import materialize, table
-from spanwise.sources import sinks, vtt
+from spanwise.sources import info_json, sinks, vtt
 
 
 def _r(*names: str) -> list:
@@ -175,6 +175,14 @@ def subtitle_files(spark: SparkSession, d: str) -> DataFrame:
     return subtitles.ass_text(subtitles.chain(parts, ["item_id", "clip_index"], ["cue_idx", "part"]), ["item_id", "clip_index"])
 
 
+def caption_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The caption document of each video to take: in its own language, else English, else Hindi, else any."""
+    videos = table(spark, d, "videos").filter("video_id IS NOT NULL").groupBy(F.col("video_id").alias("item_id")).agg(F.min("language").alias("wanted"))
+    order = videos.select("item_id", info_json.language_order(F.col("wanted"), F.lit("en,hi")).alias("langs"))
+    available = table(spark, d, "caption_docs").select(F.col("video_id").alias("item_id"), "lang", F.col("caption_id").cast("string").alias("path")).distinct()
+    return info_json.first_available(available, order)
+
+
 def script_detect(spark: SparkSession, d: str) -> DataFrame:
     return _clean(spark, d).select("item_id", "cue_idx", txt.detect_script(F.col("text")).alias("script"))
 
@@ -203,7 +211,7 @@ QUERIES = {
     for f in (
         cues_clean, caption_usable, cue_lines, cue_dedupe, cue_normalised, marker_hits, numeric_payloads, shingles, position_prior, shingle_df, cold_open_echo, cold_open_documents, forward_windows, four_beat, promo_mask,
         caption_envelope, caption_nms, captions_json, profile_fusion, profile_mode, profile_mode_heatmap, clip_adoption, clip_snap, subtitle_split, subtitle_chain, subtitle_files,
-        script_detect, romanise_sound, romanise, fuzzy_recover,
+        caption_choice, script_detect, romanise_sound, romanise, fuzzy_recover,
     )
 }
 
@@ -274,5 +282,9 @@ ORACLES = {
 n AS (SELECT *, len(w) AS n, CAST(ceil(len(w) / 4.0) AS BIGINT) AS parts FROM t WHERE len(w) > 0), p AS (SELECT *, unnest(range(parts)) AS i FROM n), q AS (SELECT *, n // parts AS base, n % parts AS extra FROM p)
 SELECT item_id, cue_idx, CAST(i AS INTEGER) AS part, round(s + (e - s) * i / parts, 6) AS start_sec, round(s + (e - s) * (i + 1) / parts, 6) AS end_sec, array_to_string(w[i * base + least(i, extra) + 1: i * base + least(i, extra) + base + CASE WHEN i < extra THEN 1 ELSE 0 END], ' ') AS text FROM q""",
     "subtitle_chain": f"WITH {_CUES}, x AS (SELECT *, least(end_ms, coalesce(lead(start_ms) OVER (PARTITION BY item_id ORDER BY start_ms, cue_idx), end_ms)) AS e FROM cu) SELECT item_id, cue_idx, round(start_ms / 1000.0::DOUBLE, 6) AS start_sec, round(e / 1000.0::DOUBLE, 6) AS end_sec FROM x WHERE e > start_ms",
+    "caption_choice": """WITH v AS (SELECT video_id AS item_id, min(language) AS wanted FROM videos WHERE video_id IS NOT NULL GROUP BY 1),
+o AS (SELECT item_id, CASE WHEN coalesce(wanted, '') <> '' AND NOT starts_with('en,hi', wanted) THEN [wanted, 'en', 'hi'] ELSE ['en', 'hi'] END AS langs FROM v),
+a AS (SELECT DISTINCT video_id AS item_id, lang, CAST(caption_id AS VARCHAR) AS path FROM caption_docs),
+r AS (SELECT a.*, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(list_position(langs, lang), 1000000), path, lang NULLS FIRST) AS n FROM a LEFT JOIN o USING (item_id)) SELECT item_id, lang, path FROM r WHERE n = 1""",
     "script_detect": f"WITH {_CUES}, n AS (SELECT item_id, cue_idx, len(regexp_extract_all(text, '[ऀ-ॿ]')) AS d, len(regexp_extract_all(text, '[؀-ۿݐ-ݿﭐ-﷿ﹰ-\\x{{FEFF}}]')) AS a FROM cu) SELECT item_id, cue_idx, CASE WHEN d = 0 AND a = 0 THEN 0 WHEN d >= a THEN 1 ELSE 2 END AS script FROM n",
 }

@@ -33,6 +33,13 @@ def test_language_choice(spark):
     assert info_json.pick_asset(assets, "avatar").collect()[0]["path"] == "3"
 
 
+def test_small_rules(spark):
+    texts = spark.createDataFrame([("ERROR: HTTP Error 429: Too Many Requests",), ("ok",), ("Private video. Sign in",)], "x string")
+    assert [r[0] for r in texts.select(info_json.error_hint(F.col("x"))).collect()] == ["rate limited", "", "private"]
+    files = spark.createDataFrame([(10, 1.0), (70_000, 1.0), (70_000, 10.0), (70_000, 0.0)], "size long, sec double")
+    assert [r[0] for r in files.select(planning.plausible(F.col("size"), F.col("sec"))).collect()] == [False, True, False, True]
+
+
 def test_manifests_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 1200.0, 12.0, [1.0 if i == 42 else 0.02 for i in range(100)]), ("none", 1200.0, 12.0, [0.0] * 100)], "item_id string, duration double, bin_seconds double, vals array<double>")
     det = profile.detect(df)
