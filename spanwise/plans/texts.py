@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from spanwise.config import PlanConfig
 from spanwise.functions import text as txt
 from spanwise.functions.lexicon import DEFAULT_MARKERS, MAGNITUDES
 from spanwise.operators import captions, fuse, planning, profile, subtitles
+from spanwise.plans import profiles
 from spanwise.plans.adapters import caption_cues, caption_profiles, cue_durations, document_cues
 from spanwise.session import materialize, table
 from spanwise.sources import info_json, sinks, vtt
@@ -152,7 +155,11 @@ def _adopted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clip_adoption(spark: SparkSession, d: str) -> DataFrame:
-    return _adopted(spark, d).select("item_id", "clip_index", *_r("start_sec", "end_sec"), "label")
+    return _adopted(spark, d).select("item_id", "clip_index", *_r("start_sec", "end_sec"))
+
+
+def clip_hooks(spark: SparkSession, d: str) -> DataFrame:
+    return _adopted(spark, d).select("item_id", "clip_index", "label")
 
 
 def clip_snap(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cues_clean, caption_usable, cue_lines, cue_dedupe, cue_normalised, marker_hits, numeric_payloads, shingles, position_prior, shingle_df, cold_open_echo, cold_open_documents, forward_windows, four_beat, promo_mask,
-        caption_envelope, caption_nms, captions_json, profile_fusion, profile_mode, profile_mode_heatmap, clip_adoption, clip_snap, subtitle_split, subtitle_chain, subtitle_files,
+        caption_envelope, caption_nms, captions_json, profile_fusion, profile_mode, profile_mode_heatmap, clip_adoption, clip_hooks, clip_snap, subtitle_split, subtitle_chain, subtitle_files,
         caption_choice, script_detect, romanise_sound, romanise, fuzzy_recover,
     )
 }
@@ -262,7 +269,31 @@ fin AS (SELECT item_id, arg_max(rns, rn) AS rns FROM gr GROUP BY 1),
 cd AS (SELECT rk.*, CAST(list_position(rns, rn) AS INTEGER) AS rank FROM rk JOIN fin USING (item_id) WHERE list_contains(rns, rn))"""
 _DURATIONS = f"WITH {_CUES}"
 
+_HEAT = f"""{profiles._VALID},
+hv AS (SELECT json_extract_string(body, '$.id') AS video_id, arg_min(record_id, record_id) AS record_id FROM j WHERE n = 100 AND json_extract_string(body, '$.id') <> '' GROUP BY 1),
+hj AS (SELECT video_id, {profiles._NUM.format("body, '$.duration'")} AS dur, {profiles._NUM.format("body, '$.heatmap[0].end_time'")} - {profiles._NUM.format("body, '$.heatmap[0].start_time'")} AS width, CAST(json_extract(body, '$.heatmap') AS JSON[]) AS xs FROM j JOIN hv USING (record_id)),
+hu AS (SELECT video_id, CASE WHEN width > 0 THEN width WHEN dur > 0 THEN dur / 100 ELSE width END AS bin_s, unnest(xs) AS x, (generate_subscripts(xs, 1) - 1)::INTEGER AS bin FROM hj),
+ht AS (SELECT DISTINCT CAST(caption_id AS VARCHAR) AS item_id, bin, bin_s, {profiles._NUM.format("x, '$.value'")} AS value FROM caption_docs JOIN hu USING (video_id)),
+du AS (SELECT item_id, max(end_ms) / 1000.0::DOUBLE AS duration FROM cu GROUP BY 1),
+fu AS (SELECT du.item_id, duration, g.bin, coalesce(ht.bin_s, duration / 100) AS bin_s, CASE WHEN ht.value IS NOT NULL AND en.value IS NOT NULL THEN 0.6::DOUBLE * ht.value + 0.4::DOUBLE * en.value ELSE coalesce(ht.value, en.value) END AS value,
+  CASE WHEN ht.value IS NOT NULL AND en.value IS NOT NULL THEN 'fused' WHEN ht.value IS NOT NULL THEN 'off' WHEN en.value IS NOT NULL THEN 'caption-only' ELSE 'rejected' END AS mode
+  FROM du CROSS JOIN (SELECT unnest(range(100))::INTEGER AS bin) g LEFT JOIN ht ON ht.item_id = du.item_id AND ht.bin = g.bin LEFT JOIN en ON en.item_id = du.item_id AND en.bin = g.bin),
+prof AS (SELECT item_id, bin, value, duration, bin_s FROM fu WHERE mode <> 'rejected')"""
+_FUSED = f"{_ENVELOPE}, {_HEAT}"
+# both chains name some steps alike
+_CLIPS = re.sub(r"\b(mk|sm|st|sc|rk|gr|fin|w[0-3])\b", r"p_\1", profiles._CHAIN + profiles._GREEDY.format(**profiles._AUTO))
+_ADOPTED = f"""{_NMS}, {_FUSED.removeprefix(_WINDOWS + ",")}{_CLIPS},
+ov AS (SELECT cl.item_id, cl.clip_index, arg_min(cd.start_sec, cd.rank) AS cs, arg_min(cd.end_sec, cd.rank) AS ce FROM cl JOIN cd ON cd.item_id = cl.item_id AND cd.start_sec < cl.end_sec AND cd.end_sec > cl.start_sec GROUP BY 1, 2),
+ad AS (SELECT item_id, clip_index, coalesce(cs, start_sec) AS start_sec, coalesce(greatest(ce, cs + 30), end_sec) AS end_sec FROM cl LEFT JOIN ov USING (item_id, clip_index))"""
+
 ORACLES = {
+    "profile_mode": f"WITH {_FUSED} SELECT DISTINCT item_id, mode FROM fu",
+    "profile_fusion": f"WITH {_FUSED} SELECT item_id, bin, round(value, 6) AS value FROM fu WHERE mode = 'fused'",
+    "clip_adoption": f"WITH RECURSIVE {_ADOPTED} SELECT item_id, clip_index, round(start_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec FROM ad",
+    "clip_snap": f"""WITH RECURSIVE {_ADOPTED}, q AS (SELECT item_id, cue_idx, start_ms / 1000.0::DOUBLE AS s, end_ms / 1000.0::DOUBLE AS e FROM cu),
+a AS (SELECT ad.item_id, clip_index, min(s) AS s FROM ad JOIN q ON q.item_id = ad.item_id AND s <= start_sec AND start_sec - s <= 3 GROUP BY 1, 2),
+z AS (SELECT ad.item_id, clip_index, arg_max(e, s * 1000000 + cue_idx) AS e FROM ad JOIN q ON q.item_id = ad.item_id AND s <= end_sec AND e >= end_sec AND e - end_sec <= 3 GROUP BY 1, 2)
+SELECT item_id, clip_index, round(coalesce(s, start_sec), 6) AS start_sec, round(coalesce(e, end_sec), 6) AS end_sec FROM ad LEFT JOIN a USING (item_id, clip_index) LEFT JOIN z USING (item_id, clip_index)""",
     "cue_lines": "WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(text, '[ \\n\\r\\t]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), c AS (SELECT item_id, w, unnest(range((len(w) + 7) // 8)) AS i FROM t WHERE len(w) > 0) SELECT item_id, CAST(i AS INTEGER) AS cue_idx, i * 4.0::DOUBLE AS start_sec, array_to_string(w[i * 8 + 1:i * 8 + 8], ' ') AS text FROM c",
     "cues_clean": f"WITH {_CUES} SELECT * FROM cu",
     "caption_usable": f"WITH {_CUES} SELECT * FROM it",
