@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
+
+from spanwise.session import materialize
 
 #: Letters that look like a Latin one, each followed by that letter.
 LOOKS = {
@@ -182,13 +183,14 @@ def look_alikes(cues: DataFrame, group_col: str, order_col: str, text_col: str)
 
     Groups of one form in which all texts are equal are dropped by a pre-aggregated comparison of
     the smallest and largest text; only the rest, few, are paired, by an equi-join on group and
-    form that a skewed form may split. Null and empty texts form no pairs; texts that show nothing
+    form that a skewed form may split. They are kept once in the session's shared folder. Null and empty texts form no pairs; texts that show nothing
     (only blanks or invisible characters) look the same. Exact repeats of a row count once; no
     pair of a row with itself. Pairs are listed once whatever the number of repeats.
     """
     forms = changed_forms(cues, group_col, order_col, text_col)
-    key = W.Window.partitionBy(group_col, "form")
-    varied = forms.withColumn("lo", F.min(text_col).over(key)).withColumn("hi", F.max(text_col).over(key)).filter("lo != hi").select(group_col, order_col, text_col, "form")
+    key = [group_col, "form"]
+    mixed = forms.groupBy(*key).agg(F.min(text_col).alias("lo"), F.max(text_col).alias("hi")).filter("lo != hi").select(*key)
+    varied = materialize(forms.join(mixed, key, "left_semi"))
     a, b = varied.alias("a"), varied.alias("b")
     same = (F.col(f"a.{group_col}") == F.col(f"b.{group_col}")) & (F.col("a.form") == F.col("b.form"))
     pairs = a.join(b, same & (F.col(f"a.{order_col}") < F.col(f"b.{order_col}")) & (F.col(f"a.{text_col}") != F.col(f"b.{text_col}")))
