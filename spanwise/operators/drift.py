@@ -8,6 +8,9 @@ information of a removed one is decided by the values both give for the same rec
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,7 +146,18 @@ def schema_changes(drops: DataFrame, key_member: str = "id") -> DataFrame:
     The fields that differ between two files, and the renames among them, are two short tables
     (rows per file and field) kept in the session's shared folder.
     """
-    members = line_members(drops, key_member)
+    diff, removed, added, renamed = _differences(drops, line_members(drops, key_member))
+    row = lambda df, change, a, b: df.select("file_name", F.lit(change).alias("change"), a.alias("old_name"), b.alias("new_name"))
+    empty, same, differs = F.lit(""), F.col("member"), "old_type != new_type AND old_type != 'null' AND new_type != 'null'"
+    out = row(removed.join(renamed, ["file_name", "old_name"], "left_anti"), "removed", F.col("old_name"), empty)
+    out = out.unionByName(row(added.join(renamed, ["file_name", "new_name"], "left_anti"), "added", empty, F.col("new_name")))
+    out = out.unionByName(row(renamed, "renamed", F.col("old_name"), F.col("new_name")))
+    out = out.unionByName(row(renamed.filter(differs), "retyped", F.col("old_name"), F.col("new_name")))
+    return out.unionByName(row(diff.filter(differs), "retyped", same, same))
+
+
+def _differences(drops: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Fields that differ between successive files; of these the removed, the added and the renamed ones."""
     fields = file_fields(members).select("file_name", "member", "type")
     steps = successions(drops)
     new = steps.join(fields.withColumnRenamed("type", "new_type"), "file_name").select("file_name", "old_file", "member", "new_type")
@@ -158,17 +172,10 @@ def schema_changes(drops: DataFrame, key_member: str = "id") -> DataFrame:
     best = lambda name: F.row_number().over(W.Window.partitionBy("file_name", name).orderBy(F.desc("score"), "old_name", "new_name"))
     scored = _scores(grid, members).withColumn("r", best("old_name")).withColumn("s", best("new_name")).filter("r = 1 AND s = 1")
     renamed = materialize(scored.select("file_name", "old_name", "new_name").join(removed.drop("old_file"), ["file_name", "old_name"]).join(added, ["file_name", "new_name"]))
-
-    row = lambda df, change, a, b: df.select("file_name", F.lit(change).alias("change"), a.alias("old_name"), b.alias("new_name"))
-    empty, same, differs = F.lit(""), F.col("member"), "old_type != new_type AND old_type != 'null' AND new_type != 'null'"
-    out = row(removed.join(renamed, ["file_name", "old_name"], "left_anti"), "removed", F.col("old_name"), empty)
-    out = out.unionByName(row(added.join(renamed, ["file_name", "new_name"], "left_anti"), "added", empty, F.col("new_name")))
-    out = out.unionByName(row(renamed, "renamed", F.col("old_name"), F.col("new_name")))
-    out = out.unionByName(row(renamed.filter(differs), "retyped", F.col("old_name"), F.col("new_name")))
-    return out.unionByName(row(diff.filter(differs), "retyped", same, same))
+    return diff, removed, added, renamed
 
 
-#: The members under which each field of the consistent table is delivered.
+#: Seed names and type of each field of the consistent table; other names follow from the renames.
 FIELD_NAMES = {
     "id": (["id"], "string"),
     "title": (["title"], "string"),
@@ -180,28 +187,99 @@ FIELD_NAMES = {
 }
 
 
-def consistent_table(drops: DataFrame, fields: dict[str, tuple[list[str], str]] | None = None) -> DataFrame:
+def _chained(files: list[list[tuple[str, str]]], seed: dict[str, tuple[str, int]]) -> list[dict[str, tuple[str, int]]]:
+    """What each (member, name before) of a feed's successive files carries: a field and its seed's rank.
+
+    A seed name carries its own field. Others take that of the name they had before or have later;
+    a name keeps its meaning over files that leave it out, until a rename gives it another.
+    """
+    found = [{m: seed[m] for m, _ in file if m in seed} for file in files]
+    while True:
+        before = sum(map(len, found))
+        known: dict[str, tuple[str, int] | None] = {}
+        for file, own in zip(files, found, strict=True):
+            now = {m: own.get(m) or known.get(was) for m, was in file}
+            for m, was in file:
+                if m != was:
+                    known.pop(was, None)
+            known.update({m: f for (m, was), f in zip(file, now.values(), strict=True) if f or m != was})
+            own.update({m: f for m, f in now.items() if f})
+        known = {}
+        for file, own in zip(reversed(files), reversed(found), strict=True):
+            own.update({m: f for m, _ in file if m not in own and (f := known.get(m))})
+            for m, was in file:
+                if m != was:
+                    known.pop(m, None)
+            known.update({was: own.get(m) for m, was in file if m in own or m != was})
+        if sum(map(len, found)) == before:
+            return found
+
+
+def field_members(drops: DataFrame, fields: dict[str, tuple[list[str], str]] | None = None, key_member: str = "id") -> DataFrame:
+    """(feed, file_seq, file_name, field, rank, member): members other than seeds that carry a field in a file.
+
+    The fields of each file are chained along the feed by the renames that ``schema_changes``
+    reports. ``rank`` is the place of the seed name that the chain leads to. A feed's rows, one per
+    file and field, are chained in one task.
+    """
+    seed = {m: (name, rank) for name, (members, _) in reversed((fields or FIELD_NAMES).items()) for rank, m in reversed(list(enumerate(members)))}
+    members = line_members(drops, key_member)
+    renamed = _differences(drops, members)[3].select("file_name", F.col("new_name").alias("member"), F.col("old_name").alias("was"))
+    held = file_fields(members).filter("feed IS NOT NULL AND file_seq IS NOT NULL AND file_name IS NOT NULL")
+    rows = held.join(renamed, ["file_name", "member"], "left").select("feed", "file_seq", "file_name", "member", F.coalesce("was", "member").alias("was"))
+    schema = T.StructType([*(rows.schema[c] for c in ("feed", "file_seq", "file_name")), T.StructField("field", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("member", T.StringType())])
+
+    def one_feed(group: pa.Table) -> pa.Table:
+        files: dict[tuple[int, str], list[tuple[str, str]]] = {}
+        for r in group.sort_by([("file_seq", "ascending"), ("file_name", "ascending"), ("member", "ascending")]).to_pylist():
+            files.setdefault((r["file_seq"], r["file_name"]), []).append((r["member"], r["was"]))
+        feed = group["feed"][0].as_py()
+        out = [(feed, *file, *f, m) for file, own in zip(files, _chained(list(files.values()), seed), strict=True) for m, f in own.items() if m not in seed]
+        kinds = [group["feed"].type, group["file_seq"].type, group["file_name"].type, pa.string(), pa.int32(), pa.string()]
+        return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=schema.fieldNames())
+
+    return rows.groupBy("feed").applyInArrow(one_feed, schema)
+
+
+def _of_field(name: str) -> Callable[[Column], Column]:
+    return lambda x: x["field"] == name
+
+
+def consistent_table(drops: DataFrame, fields: dict[str, tuple[list[str], str]] | None = None, key_member: str = "id") -> DataFrame:
     """Every line under one schema, with what could not be cast.
 
     Columns: record_id, feed, file_name, file_seq, line_no, parsed, one column per field,
     ``failed_casts`` (fields whose value could not take the column's type) and ``rest`` (members of
-    no field, as a map). A list or object gives its first value; a line that does not parse keeps
-    its row with ``parsed`` false and nulls. Of several members of one field the first non-null wins.
+    no field, as a map). A field is read from its seed names and, file by file, from the members
+    that ``field_members`` finds. A list or object gives its first value; a line that does not parse
+    keeps its row with ``parsed`` false and nulls. Of several members of one field the first
+    non-null wins, in the order of the seed names.
     """
     fields = fields or FIELD_NAMES
+    file = ["feed", "file_seq", "file_name"]
+    name = F.struct("field", "rank", F.lit(1).alias("found"), "member")
+    per_file = materialize(field_members(drops, fields, key_member).groupBy(*file).agg(F.array_sort(F.collect_list(name)).alias("found")))
+    # every line of a file reads the same members: those of a field in the order of their seeds
+    seeds = {n: F.array(*[F.struct(F.lit(n).alias("field"), F.lit(i).alias("rank"), F.lit(0).alias("found"), F.lit(m).alias("member")) for i, m in enumerate(members)]) for n, (members, _) in fields.items()}
+    ordered = {n: F.transform(F.array_sort(F.concat(s, F.filter("found", _of_field(n)))), lambda x: x["member"]) for n, s in seeds.items()}
+    per_file = per_file.select(*file, F.struct(*[o.alias(n) for n, o in ordered.items()]).alias("names"), F.transform("found", lambda x: x["member"]).alias("more"))
     v = F.try_parse_json("body")
     lines = drops.select("record_id", "feed", "file_name", "file_seq", "line_no", v.alias("v"))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    lines = lines.withColumn("v", F.when(is_object, F.col("v")))
-    text = {}
-    for name, (members, _) in fields.items():
-        one = [F.try_variant_get("v", f"$['{m}']", "string") for m in members]
-        first = [F.coalesce(F.try_variant_get("v", f"$['{m}'][0]", "string"), F.try_variant_get("v", f"$['{m}'].url", "string")) for m in members]
-        raw = [F.when(F.coalesce(x.startswith("["), F.lit(False)) | F.coalesce(x.startswith("{"), F.lit(False)), F.coalesce(y, x)).otherwise(x) for x, y in zip(one, first, strict=True)]
-        text[name] = F.coalesce(*raw)
+    lines = lines.withColumn("v", F.when(is_object, F.col("v"))).join(per_file, file, "left")
+    lines = lines.withColumn("values", F.from_json(F.to_json("v"), T.MapType(T.StringType(), T.VariantType())))
+
+    def value(member: Column) -> Column:
+        x = F.try_element_at("values", member)
+        one = F.try_variant_get(x, "$", "string")
+        first = F.coalesce(F.try_variant_get(x, "$[0]", "string"), F.try_variant_get(x, "$.url", "string"))
+        return F.when(F.coalesce(one.startswith("["), F.lit(False)) | F.coalesce(one.startswith("{"), F.lit(False)), F.coalesce(first, one)).otherwise(one)
+
     known = sorted({m for members, _ in fields.values() for m in members})
-    lines = lines.withColumns({f"_{n}": t for n, t in text.items()})
+    seeded = {n: F.array(*map(F.lit, members)) for n, (members, _) in fields.items()}
+    lines = lines.withColumns({f"_{n}": F.get(F.filter(F.transform(F.coalesce(F.col(f"names.{n}"), s), value), lambda x: x.isNotNull()), 0) for n, s in seeded.items()})
     typed = {n: F.col(f"_{n}").try_cast(t) for n, (_, t) in fields.items()}
     failed = F.filter(F.array(*[F.when(F.col(f"_{n}").isNotNull() & typed[n].isNull(), F.lit(n)) for n in fields]), lambda x: x.isNotNull())
-    rest = F.map_filter(F.from_json(F.to_json("v"), T.MapType(T.StringType(), T.StringType())), lambda k, _: ~k.isin(*known))
+    more = F.coalesce("more", F.array().cast("array<string>"))
+    rest = F.map_filter(F.from_json(F.to_json("v"), T.MapType(T.StringType(), T.StringType())), lambda k, _: ~k.isin(*known) & ~F.array_contains(more, k))
     return lines.select("record_id", "feed", "file_name", "file_seq", "line_no", F.col("v").isNotNull().alias("parsed"), *[c.alias(n) for n, c in typed.items()], failed.alias("failed_casts"), rest.alias("rest"))

@@ -154,6 +154,27 @@ def test_consistent_table(spark):
     assert not rows[2]["parsed"] and not rows[3]["parsed"] and rows[3]["failed_casts"] == []
 
 
+def test_consistent_table_follows_renames(spark):
+    """Names that no list has: forward, chained, over a file that leaves the field out, and backward."""
+    ids = [f"v{i}" for i in range(12)]
+    lang = ["en", "hi", "de", "ur"] * 3
+    live = [i % 4 == 0 for i in range(12)]
+    url = [f"https://x/@{i}" for i in range(12)]
+    file = lambda g, b, u: [line(**{"id": i, **({g: [x]} if g else {}), b: y, u: z}) for i, x, y, z in zip(ids, lang, live, url, strict=True)]
+    forward = [("f", "1", 1, file("language", "is_live", "channel_url")), ("f", "2", 2, file("idioma", "en_vivo", "it's ?\"here\"")), ("f", "3", 3, file("sprache", "en_vivo", "channel_url"))]
+    forward += [("f", "4", 4, file(None, "en_vivo", "channel_url")), ("f", "5", 5, file("sprache", "on_air", "channel_url"))]
+    backward = [("g", "6", 1, file("tongue", "is_live", "home")), ("g", "7", 2, file("lang", "is_live", "channel_link")), (None, "8", 1, file("idioma", "is_live", "channel_url"))]
+    by = {}
+    for r in consistent_table(drops(spark, forward + backward)).collect():
+        by.setdefault(r["file_name"], []).append(r)
+    for name, rows in by.items():
+        rows.sort(key=lambda r: r["line_no"])
+        assert [r["language"] for r in rows] == (lang if name not in "48" else [None] * 12), name
+        assert [r["is_live"] for r in rows] == live and [r["channel_url"] for r in rows] == url, name
+        assert all(r["failed_casts"] == [] and r["rest"] == ({} if name != "8" else {"idioma": f'["{g}"]'}) for r, g in zip(rows, lang, strict=True)), name
+    assert sorted(by) == list("12345678")
+
+
 def test_materialize_keeps_rows(spark):
     df = spark.range(10).withColumn("x", F.array(F.col("id")))
     assert sorted(map(tuple, ((r["id"], tuple(r["x"])) for r in materialize(df).collect()))) == [(i, (i,)) for i in range(10)]
