@@ -41,11 +41,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(case(langid.foreign_cues(cues, captions, languages), "segment", F.concat_ws(":", "caption_id", "cue_idx")))
 
 
+def _video_languages(videos: DataFrame, labels: DataFrame, captions: DataFrame) -> DataFrame:
+    """(video_id, lang, confidence) of each video with an original caption document: that of the surest one."""
+    spoken = labels.filter("track = 'original'").join(captions, "caption_id").groupBy("video_id")
+    best = spoken.agg(F.min(F.struct(F.negative("confidence").alias("order"), "lang", "confidence")).alias("best"))
+    return videos.filter("video_id IS NOT NULL").select("video_id").distinct().join(best, "video_id").select("video_id", "best.lang", "best.confidence")
+
+
 def p1_languages(spark: SparkSession, d: str) -> DataFrame:
     languages = langid.fit(table(spark, d, "lang_samples"))
     cues, captions = langid.cue_languages(table(spark, d, "caption_cues"), languages)
     row = lambda df, kind, item: df.select(F.lit(kind).alias("kind"), item.cast("string").alias("item_id"), "lang", F.round("confidence", 4).alias("confidence"))
-    out = row(captions, "caption", F.col("caption_id")).unionByName(row(_document_languages(spark, d, languages), "document", F.col("doc_id")))
+    out = row(captions, "caption", F.col("caption_id"))
+    out = out.unionByName(row(_video_languages(table(spark, d, "videos"), _caption_labels(spark, d), captions), "video", F.col("video_id")))
+    out = out.unionByName(row(_document_languages(spark, d, languages), "document", F.col("doc_id")))
     return out.unionByName(row(langid.foreign_cues(cues, captions, languages), "segment", F.concat_ws(":", "caption_id", "cue_idx")))
 
 

@@ -80,6 +80,21 @@ def test_cue_languages(spark, languages):
     assert [(r["caption_id"], r["cue_idx"], r["lang"]) for r in langid.foreign_cues(one, docs, languages).collect()] == [(1, 4, "de")]
 
 
+@needs_data
+def test_videos_have_languages(spark, tmp_path):
+    """Of two original documents the surer one decides; translations and videos without captions do not count."""
+    en, de = "the camera crew carefully measured the last table", "der Besitzer vom Laden öffnete endlich das rote Fahrrad"
+    cues = [(1, 0, en), (2, 0, de), (3, 0, de), (3, 1, de), (3, 2, en), (4, 0, en), (5, 0, "...")]
+    docs = [(1, "v", "en", "original"), (2, "v", "de", "translated"), (3, "w", "de", "original"), (4, "w", "en", "original"), (5, "x", "en", "original"), (1, "gone", "en", "original")]
+    spark.createDataFrame(cues, "caption_id long, cue_idx int, text string").write.parquet(str(tmp_path / "caption_cues.parquet"))
+    spark.createDataFrame(docs, "caption_id long, video_id string, lang string, track string").write.parquet(str(tmp_path / "caption_docs.parquet"))
+    spark.createDataFrame([("v", "de"), ("v", "de"), ("w", None), ("x", "en"), (None, "en")], "video_id string, language string").write.parquet(str(tmp_path / "videos.parquet"))
+    spark.createDataFrame([], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "lang_samples.parquet").symlink_to(DATA / "lang_samples.parquet")
+    got = sorted(map(tuple, queries.p1_languages(spark, str(tmp_path)).filter("kind = 'video'").collect()))
+    assert got == [("video", "v", "en", 1.0), ("video", "w", "en", 1.0)]
+
+
 # look-alikes
 
 
