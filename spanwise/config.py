@@ -35,6 +35,17 @@ class PlanConfig:
             raise ValueError("clip_len is 15..180")
 
 
+@dataclass(frozen=True)
+class RunConfig:
+    """How an item was to be fetched and cut; only named in its manifest."""
+
+    format: str = "916blur"
+    source: str = "ytdlp"
+    dry_run: bool = False
+    full_download: bool = False
+    try_sections: bool = False
+
+
 @dataclass(frozen=True)
 class ScoreConfig:
     window_ms: int = 45_000

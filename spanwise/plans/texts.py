@@ -121,7 +121,9 @@ def _candidates(spark: SparkSession, d: str, windows: DataFrame | None = None) -
 
 
 def captions_json(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.captions_json(_candidates(spark, d), "fused", 0.4)
+    windows = materialize(_windows(spark, d))
+    chosen = _chosen(spark, d, windows).filter("mode IN ('fused', 'caption-only')").select("item_id", "mode")
+    return sinks.captions_json(_candidates(spark, d, windows), chosen.join(_langs(spark, d), "item_id", "left"), 0.4)
 
 
 def _chosen(spark: SparkSession, d: str, windows: DataFrame | None = None) -> DataFrame:
@@ -194,9 +196,12 @@ def script_detect(spark: SparkSession, d: str) -> DataFrame:
     return _clean(spark, d).select("item_id", "cue_idx", txt.detect_script(F.col("text")).alias("script"))
 
 
+def _langs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "caption_docs").groupBy(F.col("caption_id").cast("string").alias("item_id")).agg(F.min("lang").alias("lang"))
+
+
 def _with_lang(spark: SparkSession, d: str) -> DataFrame:
-    langs = table(spark, d, "caption_docs").groupBy(F.col("caption_id").cast("string").alias("item_id")).agg(F.min("lang").alias("lang"))
-    return _clean(spark, d).join(langs, "item_id", "left")
+    return _clean(spark, d).join(_langs(spark, d), "item_id", "left")
 
 
 def romanise_sound(spark: SparkSession, d: str) -> DataFrame:

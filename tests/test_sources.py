@@ -60,6 +60,20 @@ def test_manifests_round_trip(spark, tmp_path):
     assert {r["item_id"] for r in spark.read.text(str(tmp_path / "out")).collect()} == {"a", "none"}
 
 
+def test_documents_have_own_mode_and_all_params(spark):
+    none = "array<string>"
+    cand = spark.createDataFrame([("a", 2, 5.0, 9.0, 1.0, "h", False, False, []), ("a", 1, 1.0, 4.0, 2.0, "g", True, False, ["x"])], f"item_id string, rank int, start_sec double, end_sec double, score double, hook_text string, four_beat boolean, cold_open_match boolean, signals {none}")
+    items = spark.createDataFrame([("a", "hi", "caption-only"), ("b", None, "fused")], "item_id string, lang string, mode string")
+    docs = {r["item_id"]: json.loads(r["json"]) for r in sinks.captions_json(cand, items, 0.4).collect()}
+    assert [c["hook"] for c in docs["a"].pop("candidates")] == ["g", "h"] and docs["a"] == {"lang": "hi", "mode": "caption-only", "weight": 0.4}
+    assert docs["b"] == {"lang": "", "mode": "fused", "weight": 0.4, "candidates": []}
+    df = spark.createDataFrame([("a", 1200.0, 12.0, [1.0 if i == 42 else 0.02 for i in range(100)])], "item_id string, duration double, bin_seconds double, vals array<double>")
+    det = profile.detect(df)
+    videos = spark.createDataFrame([("a", "T", "C", "u")], "item_id string, title string, channel string, url string")
+    params = json.loads(sinks.manifest(videos, det, planning.plan(det).withColumn("label", F.lit(""))).collect()[0]["json"])["params"]
+    assert params == {"max_clips": 6, "format": "916blur", "keep_intro": False, "strict": False, "clip_len": 0.0, "min_gap": 0.0, "source": "ytdlp", "dry_run": False, "full_download": False, "try_sections": False}
+
+
 def test_listing(spark):
     jobs = spark.createDataFrame([("web-1", 5), ("2", 6)], "id string, modified int")
     disk = spark.createDataFrame([("1", 1), ("web-2", 2), ("3", 3)], "id string, modified int")
