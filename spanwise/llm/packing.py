@@ -3,14 +3,15 @@
 Items are dealt by a hash into blocks of a bounded number, and each block is packed on its own, in
 parallel; a block's packing wastes at most what its last containers leave open. Within a block a
 best-fit packing is improved by moves between underfull containers, each of which makes the sum of
-squared fills larger: moving an item, exchanging one for one, one for two or two for one. Squared
+squared fills larger: moving an item, exchanging one for one, one for two or two for one, until none
+is left. Squared
 fill grows by filling some containers at the cost of others, until the others are empty.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,6 @@ from pyspark.sql import types as T
 
 #: Items in a block at most, on average; bounds a task's work and memory.
 BLOCK_ITEMS = 10_000
-#: Rounds of local search at most; each stops early when a round improves nothing.
-ROUNDS = 12
-#: Partners looked at for one item of a container.
-LOOK = 24
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -45,106 +42,130 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Fills:
+    """Containers by a size they can give: for each distinct size, those that have it, least full first."""
+
+    def __init__(self) -> None:
+        self.sizes: list[int] = []
+        self.at: dict[int, list[tuple[int, int]]] = {}
+
+    def add(self, size: int, fill: int, b: int) -> None:
+        if size not in self.at:
+            self.at[size] = []
+            insort(self.sizes, size)
+        insort(self.at[size], (fill, b))
+
+    def remove(self, size: int, fill: int, b: int) -> None:
+        own = self.at[size]
+        del own[bisect_left(own, (fill, b))]
+        if not own:
+            del self.at[size]
+            del self.sizes[bisect_left(self.sizes, size)]
+
+    def largest(self, least: int, most: int, base: int, fill: int, b: int) -> tuple[int, int] | None:
+        """(size, container) of the largest size whose container, other than ``b``, is less full than
+        ``b`` will be: ``b`` has ``fill`` and gains the size less ``base``."""
+        for at in range(bisect_right(self.sizes, most) - 1, -1, -1):
+            size = self.sizes[at]
+            if size < least:
+                return None
+            own = self.at[size]
+            first = own[0] if own[0][1] != b else own[1] if len(own) > 1 else None
+            if first and first[0] < fill + size - base:
+                return size, first[1]
+        return None
+
+
 class LocalSearch:
-    """Improves a packing. Sizes are positive and at most the capacity."""
+    """Improves a packing until no move does. Sizes are positive and at most the capacity.
+
+    The underfull containers are indexed by the sizes of their items and by those of their pairs. A
+    move makes the sum of squared fills larger exactly if the container that gains ends fuller than
+    the other was, so that per size only the least full container needs a look.
+    """
 
     def __init__(self, sizes: np.ndarray, capacity: int, bins: list[list[int]]) -> None:
         self.size = [int(s) for s in sizes]
         self.capacity = capacity
-        self.bins = [set(b) for b in bins]
-        self.fill = [sum(self.size[i] for i in b) for b in bins]
-        self.home = {i: b for b, items in enumerate(bins) for i in items}
-        # items of underfull containers by size: what can be exchanged
-        self.by_size = sorted((self.size[i], i) for b, items in enumerate(bins) if self.fill[b] < capacity for i in items)
-
-    def _move(self, item: int, to: int) -> None:
-        at, size = self.home[item], self.size[item]
-        self.bins[at].discard(item)
-        self.bins[to].add(item)
+        self.bins: list[dict[int, list[int]]] = [{} for _ in bins]  # items by size
+        self.fill = [0] * len(bins)
+        self.one, self.two = _Fills(), _Fills()
+        for b, items in enumerate(bins):
+            for i in items:
+                self.bins[b].setdefault(self.size[i], []).append(i)
+                self.fill[b] += self.size[i]
+            self._index(b, _Fills.add)
+
+    def _pairs(self, b: int) -> dict[int, tuple[int, int]]:
+        """Two sizes of different items of ``b`` for each of their sums that fits a container."""
+        own = sorted(self.bins[b])
+        out = {2 * s: (s, s) for s in own if len(self.bins[b][s]) > 1}
+        for i, p in enumerate(own):
+            out.update((p + q, (p, q)) for q in own[i + 1 :])
+        return out
+
+    def _index(self, b: int, change: Callable[[_Fills, int, int, int], None]) -> None:
+        """Adds container ``b`` to the indexes or removes it; full and empty ones are in none."""
+        if 0 < self.fill[b] < self.capacity:
+            for s in self.bins[b]:
+                change(self.one, s, self.fill[b], b)
+            for s in self._pairs(b):
+                change(self.two, s, self.fill[b], b)
+
+    def _move(self, size: int, at: int, to: int) -> None:
+        item = self.bins[at][size].pop()
+        if not self.bins[at][size]:
+            del self.bins[at][size]
+        self.bins[to].setdefault(size, []).append(item)
         self.fill[at] -= size
         self.fill[to] += size
-        self.home[item] = to
-
-    def _settle(self, *bins: int) -> None:
-        """Items of containers that became full leave the index."""
-        for b in bins:
-            if self.fill[b] == self.capacity:
-                for i in self.bins[b]:
-                    key = (self.size[i], i)
-                    at = bisect_left(self.by_size, key)
-                    if at < len(self.by_size) and self.by_size[at] == key:
-                        del self.by_size[at]
-
-    def _partners(self, most: int, least: int, b: int) -> Iterator[int]:
-        """Items of other containers no fuller than ``b``, largest first, of size least..most."""
-        at, seen = bisect_right(self.by_size, (most, 1 << 60)), 0
-        while at and seen < LOOK:
-            at -= 1
-            size, item = self.by_size[at]
-            if size < least:
-                return
-            if self.home[item] != b and self.fill[self.home[item]] <= self.fill[b]:
-                yield item
-            seen += 1
 
     def _improve(self, b: int) -> bool:
-        """One move into container ``b`` that closes as much of its free space as can be found."""
-        free = self.capacity - self.fill[b]
-        best: tuple[int, list[int], list[int]] | None = None  # (gain, items in, items out)
+        """The move into container ``b`` that closes the most of its free space."""
+        fill = self.fill[b]
+        free = self.capacity - fill
+        best: tuple[int, int, tuple[int, ...], tuple[int, ...]] | None = None  # (gain, other, sizes in, sizes out)
 
-        def offer(gain: int, into: list[int], out: list[int]) -> None:
+        def look(index: _Fills, base: int, out: tuple[int, ...]) -> None:
             nonlocal best
-            if 0 < gain <= free and (best is None or gain > best[0]):
-                best = (gain, into, out)
-
-        for x in self._partners(free, 1, b):  # a move
-            offer(self.size[x], [x], [])
-            break
-        for own in list(self.bins[b]):
-            if best is not None and best[0] == free:
-                break
-            s = self.size[own]
-            for x in self._partners(s + free, s + 1, b):  # one for one
-                offer(self.size[x] - s, [x], [own])
-                for y in self.bins[self.home[x]]:  # two for one, from one container
-                    if y != x and s < self.size[x] + self.size[y] <= s + free:
-                        offer(self.size[x] + self.size[y] - s, [x, y], [own])
-                break
-            for x in self._partners(s - 1, 1, b):  # two for one where neither alone is enough
-                for y in self.bins[self.home[x]]:
-                    if y != x:
-                        offer(self.size[x] + self.size[y] - s, [x, y], [own])
-        owns = list(self.bins[b])
-        if (best is None or best[0] < free) and len(owns) <= 16:  # one for two
-            for i, p in enumerate(owns):
-                for q in owns[i + 1 :]:
-                    s = self.size[p] + self.size[q]
-                    for x in self._partners(s + free, s + 1, b):
-                        offer(self.size[x] - s, [x], [p, q])
-                        break
+            found = index.largest(base + (best[0] if best else 0) + 1, base + free, base, fill, b)
+            if found:
+                size, other = found
+                best = (size - base, other, (size,) if index is self.one else self._pairs(other)[size], out)
+
+        look(self.one, 0, ())  # a move
+        for index in (self.one, self.two):  # one for one, two for one
+            for s in sorted(self.bins[b]):
+                if best and best[0] == free:
+                    break
+                look(index, s, (s,))
+        if not best or best[0] < free:  # one for two
+            for s, pair in self._pairs(b).items():
+                look(self.one, s, pair)
+                if best and best[0] == free:
+                    break
         if best is None:
             return False
-        _, into, out = best
-        other = self.home[into[0]]
-        for x in into:
-            self._move(x, b)
-        for x in out:
-            self._move(x, other)
-        self._settle(b, other)
+        _, other, into, out = best
+        for x in (b, other):
+            self._index(x, _Fills.remove)
+        for s in into:
+            self._move(s, other, b)
+        for s in out:
+            self._move(s, b, other)
+        for x in (b, other):
+            self._index(x, _Fills.add)
         return True
 
     def run(self) -> list[list[int]]:
-        for _ in range(ROUNDS):
+        moved = True
+        while moved:  # each move makes the sum of squared fills larger, so this ends
             moved = False
             # the fullest of the underfull take from the others
             for b in sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.capacity), key=lambda b: (-self.fill[b], b)):
-                for _ in range(4):
-                    if not 0 < self.fill[b] < self.capacity or not self._improve(b):
-                        break
+                while 0 < self.fill[b] < self.capacity and self._improve(b):
                     moved = True
-            if not moved:
-                break
-        return [sorted(b) for b in self.bins if b]
+        return [sorted(i for items in b.values() for i in items) for b in self.bins if b]
 
 
 def pack_block(sizes: np.ndarray, capacity: int) -> np.ndarray:

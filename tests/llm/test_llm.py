@@ -281,3 +281,28 @@ def test_found_queries(spark, name, columns):
     rows = df.collect()
     assert df.columns == columns
     assert len({json.dumps([r[c] for c in columns], default=str) for r in rows}) == len(rows)
+
+
+def test_search_leaves_no_improving_move():
+    """Ties do not hide a partner, nor do many items in a container, and no move of the kinds is left."""
+    ties = [90] + [x for _ in range(24) for x in (85, 10)] + [41, 9]
+    bins = [[0]] + [[1 + 2 * k, 2 + 2 * k] for k in range(24)] + [[49, 50]]
+    out = packing.LocalSearch(np.array(ties), 100, bins).run()
+    assert any(sum(ties[i] for i in b) >= 99 for b in out)
+    many = [5] * 18 + [14, 30]
+    assert sorted(sum(many[i] for i in b) for b in packing.LocalSearch(np.array(many), 94, [list(range(18)), [18, 19]]).run()) == [40, 94]
+    rnd = np.random.default_rng(3)
+    for _ in range(30):
+        sizes, capacity = rnd.integers(5, 60, 40), 100
+        out = packing.LocalSearch(sizes, capacity, packing.best_fit(sizes, capacity)).run()
+        assert sorted(i for b in out for i in b) == list(range(40))
+        fill = [int(sum(sizes[i] for i in b)) for b in out]
+        some = lambda b: [0, *(int(sizes[i]) for i in b), *(int(sizes[p] + sizes[q]) for k, p in enumerate(b) for q in b[k + 1 :])]
+        count = lambda b: [0, *(1 for _ in b), *(2 for k, _ in enumerate(b) for _ in b[k + 1 :])]
+        assert max(fill) <= capacity
+        for x, a in enumerate(out):
+            for y, b in enumerate(out):
+                for g, n in zip(some(b), count(b), strict=True):
+                    for r, m in zip(some(a), count(a), strict=True):
+                        if x != y and (n, m) in {(1, 0), (1, 1), (2, 1), (1, 2)} and 0 < g - r <= capacity - fill[x]:
+                            assert fill[y] >= fill[x] + g - r
