@@ -93,8 +93,7 @@ def _packed(spark: SparkSession, d: str, targets: DataFrame) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Articles that the packing into containers of 8,192 tokens had to split."""
-    targets = table(spark, d, "pack_targets").filter("capacity = 8192")
-    return _packed(spark, d, targets).filter("pieces > 1 AND piece = 0").select("doc_id").distinct()
+    return _packed(spark, d, table(spark, d, "pack_targets")).filter("capacity = 8192 AND pieces > 1 AND piece = 0").select("doc_id").distinct()
 
 
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:

@@ -306,3 +306,13 @@ def test_search_leaves_no_improving_move():
                     for r, m in zip(some(a), count(a), strict=True):
                         if x != y and (n, m) in {(1, 0), (1, 1), (2, 1), (1, 2)} and 0 < g - r <= capacity - fill[x]:
                             assert fill[y] >= fill[x] + g - r
+
+
+@needs_data
+def test_p7_found_packs_every_target(spark, monkeypatch):
+    seen = []
+    items = spark.createDataFrame([("a", 9000, queries.VOCABULARY), ("b", 5000, queries.VOCABULARY)], "doc_id string, size long, tokenizer string")
+    pack = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda _, targets, id_col, blocks: seen.append(targets) or pack(items, targets, id_col, blocks))
+    assert [r[0] for r in queries.p7_found(spark, str(DATA)).collect()] == ["a"]
+    assert {2048, 4096, 8192} <= {r["capacity"] for r in seen[0].collect()}
