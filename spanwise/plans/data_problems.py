@@ -13,12 +13,12 @@ from spanwise.session import table
 ARRAYS = ("entries", "heatmap", "chapters", "marks", "links")
 
 
-def _nodes(spark: SparkSession, d: str, members: bool = True) -> DataFrame:
-    return nested_nodes(table(spark, d, "info_json"), "record_id", "body", ARRAYS, members)
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return nested_nodes(table(spark, d, "info_json"), "record_id", "body", ARRAYS)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d, members=False).select("record_id", "child_path", "parent_path")
+    return _nodes(spark, d).select("record_id", "child_path", "parent_path")
 
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:

@@ -178,3 +178,13 @@ def test_consistent_table_follows_renames(spark):
 def test_materialize_keeps_rows(spark):
     df = spark.range(10).withColumn("x", F.array(F.col("id")))
     assert sorted(map(tuple, ((r["id"], tuple(r["x"])) for r in materialize(df).collect()))) == [(i, (i,)) for i in range(10)]
+
+
+def test_p3_found_is_of_the_pass_with_triples(spark, tmp_path, monkeypatch):
+    from spanwise.plans import data_problems
+
+    seen = []
+    monkeypatch.setattr(data_problems, "nested_nodes", lambda *a: seen.append(nested_nodes(*a)) or seen[-1])
+    spark.createDataFrame([(1, '{"links": [{"url": "u"}]}')], "record_id long, body string").write.parquet(str(tmp_path / "info_json.parquet"))
+    assert [tuple(r) for r in data_problems.p3_found(spark, str(tmp_path)).collect()] == [(1, "links[0]", "$")]
+    assert seen[0].collect()[0]["members"]
