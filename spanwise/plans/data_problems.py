@@ -13,33 +13,33 @@ from spanwise.session import table
 ARRAYS = ("entries", "heatmap", "chapters", "marks", "links")
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested_nodes(table(spark, d, "info_json"), "record_id", "body", ARRAYS)
+def _nodes(spark: SparkSession, d: str, *arrays: str) -> DataFrame:
+    return nested_nodes(table(spark, d, "info_json"), "record_id", "body", arrays)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).select("record_id", "child_path", "parent_path")
+    return _nodes(spark, d, *ARRAYS).select("record_id", "child_path", "parent_path")
 
 
-def p3_records(spark: SparkSession, d: str) -> DataFrame:
-    nodes = nested_nodes(table(spark, d, "info_json"), "record_id", "body")
-    return record_table(nodes, "record_id", {"id": "string", "title": "string", "channel": "string", "duration": "double", "language": "string", "is_live": "boolean", "channel_follower_count": "bigint"})
-
-
-def p3_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    return flat_table(_nodes(spark, d), "record_id", "heatmap", {"start_time": "double", "end_time": "double", "value": "double"})
-
+#: Columns of the record's own table and of the table of each array.
+RECORD = {"id": "string", "title": "string", "channel": "string", "duration": "double", "language": "string", "is_live": "boolean", "channel_follower_count": "bigint"}
+TABLES = {
+    "heatmap": {"start_time": "double", "end_time": "double", "value": "double"},
+    "chapters": {"start_time": "double", "end_time": "double", "title": "string"},
+    "marks": {"at_time": "double", "label": "string"},
+    "links": {"url": "string", "note": "string"},
+}
 
-def p3_chapters(spark: SparkSession, d: str) -> DataFrame:
-    return flat_table(_nodes(spark, d), "record_id", "chapters", {"start_time": "double", "end_time": "double", "title": "string"})
 
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    return record_table(nested_nodes(table(spark, d, "info_json"), "record_id", "body", (), record=True), "record_id", RECORD)
 
-def p3_marks(spark: SparkSession, d: str) -> DataFrame:
-    return flat_table(_nodes(spark, d), "record_id", "marks", {"at_time": "double", "label": "string"})
 
+def _table(array: str):  # noqa: ANN202
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return flat_table(_nodes(spark, d, array), "record_id", array, TABLES[array])
 
-def p3_links(spark: SparkSession, d: str) -> DataFrame:
-    return flat_table(_nodes(spark, d), "record_id", "links", {"url": "string", "note": "string"})
+    return query
 
 
 def p3_unparsed(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def p5_fields(spark: SparkSession, d: str) -> DataFrame:
     return file_fields(line_members(table(spark, d, "video_drops"))).select("file_name", "member", "type")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_heatmap, p3_chapters, p3_marks, p3_links, p3_unparsed, p4_found, p4_totals, p5_found, p5_table, p5_fields)}
+QUERIES = {f"p3_{a}": _table(a) for a in TABLES} | {f.__name__: f for f in (p3_found, p3_records, p3_unparsed, p4_found, p4_totals, p5_found, p5_table, p5_fields)}
 
 _TREE = "WITH t AS (SELECT r.record_id, j.type, j.atom, j.id AS nid, j.parent AS pid, j.key AS k, replace(substr(j.fullkey, 3), '\"', '') AS path, replace(j.path, '\"', '') AS holder, j.value FROM (SELECT record_id, body FROM info_json WHERE body IS NOT NULL AND body <> '' AND json_valid(body)) r, json_tree(r.body) j)"
 _ELEMENTS = _TREE + ", e AS (SELECT record_id, nid, path AS child_path, regexp_extract(holder, '([A-Za-z_]+)$', 1) AS arr, CASE WHEN contains(substr(holder, 3), '.') THEN regexp_replace(substr(holder, 3), '[.][A-Za-z_]+$', '') ELSE '$' END AS parent_path, CAST(k AS INTEGER) AS ordinal, value FROM t WHERE type = 'OBJECT' AND regexp_matches(holder, '[.](entries|heatmap|chapters|marks|links)$') AND ends_with(path, ']'))"

@@ -7,9 +7,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from spanwise.operators.coverage import coverage, merge_runs, to_ms
+from spanwise.operators.coverage import coverage, disjoint, merge_all, merge_two, to_ms
 from spanwise.operators.drift import consistent_table, file_fields, line_members, schema_changes
-from spanwise.operators.nested import flat_table, nested_nodes, record_table, unparsed
+from spanwise.operators.nested import elements, flat_table, nested_nodes, record_table, unparsed
 from spanwise.session import materialize
 
 ARRAYS = ("entries", "heatmap", "chapters", "marks", "links")
@@ -72,6 +72,37 @@ def test_nested_odd_input(spark):
     assert nested_nodes(df.filter("false"), "record_id", "body").collect() == []
 
 
+def test_nested_at_any_depth(spark):
+    """As deep as 100,000 levels, of objects, arrays and both, with repeated names and half surrogates."""
+    n = 100_000
+    deep = ['{"a":' * n + '{"chapters":[{"title":"x"}]}' + "}" * n, "[" * n + '{"chapters":[{}]}' + "]" * n, '{"chapters":[' * n + "]}" * n]
+    assert [len(elements(b, lambda array, kind: array == "chapters" and kind == "object" and b is not deep[2])) for b in deep] == [1, 1, 0]
+    assert elements("[" * n + "]" * (n - 1), lambda *_: False) is None
+    again = '{"chapters":[{"t":1},{"marks":[{}]}],"a":{"b":1,"c":[{}]},"chapters":[{"t":2}],"a":{"d":"\\ud800"}}'
+    got = {(r[2], tuple(r[6])) for r in elements(again)}
+    assert got == {("chapters[0]", (("t", "2"),)), ("$", (("a.d", "\ufffd"),))}
+
+
+def test_nested_grammar():
+    rnd = random.Random(3)
+    texts = [json.dumps(random_value(rnd), indent=rnd.choice([None, 1])) for _ in range(300)]
+    for t in list(texts):
+        at = rnd.randrange(len(t))
+        texts += [t[:at] + rnd.choice('{}[],:"0.-e\\ tn\x01') + t[at + rnd.randrange(2) :], t + rnd.choice([" ", "\n", "x", "]", ","])]
+    texts += ["01", "-", "1.", "1e", ".5", "tru", '"\\x"', '"a\tb"', "\ufeff{}", "NaN", "[1,]", '{"a":1,}', "{1:2}", "[,1]", "", " ", "null", "-0.0e+1", '{"":[]}']
+
+    def no(x):
+        raise ValueError
+
+    for t in texts:
+        try:
+            json.loads(t, parse_constant=no)
+            ok = True
+        except ValueError:
+            ok = False
+        assert (elements(t) is not None) == ok, t
+
+
 def brute_pieces(rows):
     out, by = set(), {}
     for k, i, s, e in rows:
@@ -105,12 +136,23 @@ def test_merge_is_associative():
     import numpy as np
 
     rnd = np.random.default_rng(0)
-    key, start = rnd.integers(0, 5, 500), rnd.integers(0, 3000, 500)
+    start = rnd.integers(0, 3000, 500)
     end = start + rnd.integers(1, 20, 500)
-    whole = merge_runs(key, start, end)
-    a, b = (merge_runs(key[i], start[i], end[i]) for i in (slice(0, 200), slice(200, 500)))
-    for x, y in zip(whole, merge_runs(*(np.r_[p, q] for p, q in zip(a, b, strict=True))), strict=True):
-        assert (x == y).all()
+    order = np.argsort(start, kind="stable")
+    whole = disjoint(start[order], end[order])
+    parts = [disjoint(np.sort(start[i]), end[i][np.argsort(start[i], kind="stable")]) for i in (slice(0, 200), slice(200, 201), slice(201, 201), slice(201, 500))]
+    for one in (merge_all(parts), merge_all(parts[::-1]), merge_two(merge_two(parts[3], parts[0]), merge_two(parts[2], parts[1]))):
+        assert all((x == y).all() for x, y in zip(whole, one, strict=True))
+
+
+def test_one_entity_of_a_million_intervals(spark):
+    """Nested, overlapping and parted intervals of one hot entity, over many tasks and levels."""
+    n = 1_000_000
+    df = spark.range(0, n, 1, 40).select(F.lit("k").alias("entity_kind"), F.lit("hot").alias("entity_id"), (F.col("id") * 10).alias("start_ms"), (F.col("id") * 10 + F.when(F.col("id") % 1000 == 999, 5).otherwise(15)).alias("end_ms"))
+    out = coverage(df, fan_in=2)
+    assert out.groupBy("piece").agg(F.count("*").alias("n"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms")).orderBy("piece").collect() == [("gap", 999, 999 * 5), ("period", 1000, n * 10 - 999 * 5 - 5)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("starts" not in line and "ends#" not in line.split("Window", 1)[1].split("windowspec")[0] for line in plan.splitlines() if "Window [" in line)
 
 
 def test_to_ms(spark):
