@@ -1,15 +1,14 @@
 """Files whose fields drift: one consistent table, and a report of every change.
 
-Lines are kept as (member, raw value) pairs of the VARIANT they parse to. Statistics per file and
-member (how many lines hold it, with which JSON type) are plain counts, pre-aggregated before the
+Lines are loaded once as maps of member to value with its raw JSON type. Statistics per file and
+member (how many lines hold it, with which type) are plain counts, pre-aggregated before the
 shuffle. Successive files of a feed are compared on those counts; which added member carries the
-information of a removed one is decided by the values both give for the same record.
+information of a removed one is decided by the values both give for the same record. The table
+projects typed columns from the maps, each file's members being those its renames lead to.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,18 +37,40 @@ def json_type(value: Column) -> Column:
     return case.otherwise("number")
 
 
-def line_members(drops: DataFrame, key_member: str = "id") -> DataFrame:
-    """(feed, file_name, file_seq, record_id, entity, member, type, raw) of every line that parses to an object.
+#: What a file is known by. Files of one name in two feeds, or under two numbers, are different files.
+FILE = ["feed", "file_seq", "file_name"]
+
+
+def line_maps(drops: DataFrame, key_member: str = "id") -> DataFrame:
+    """(feed, file_seq, file_name, record_id, line_no, entity, members): every line, kept for several uses.
 
-    ``raw`` is the value's JSON text without the quotes of a string, ``entity`` that of the member
-    that names the record. A line that is null, empty, not JSON or no object gives no rows; a member
-    that holds null has type ``null``.
+    ``members`` maps each member to its ``type`` (:func:`json_type`) and ``raw``, the value's JSON
+    text without the quotes of a string; it is null for a line that is null, empty, not JSON or no
+    object. ``entity`` is the value of the member that names the record. The lines are parsed once
+    and kept in the session's shared folder.
     """
-    parsed = drops.select("feed", "file_name", "file_seq", "record_id", F.try_parse_json("body").alias("v"))
-    parsed = parsed.filter(F.schema_of_variant("v").startswith("OBJECT")).withColumn("entity", F.try_variant_get("v", f"$['{key_member}']", "string"))
-    view = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("v").outer()))
-    raw = F.coalesce(F.try_variant_get("value", "$", "string"), F.to_json("value"))
-    return view.select("feed", "file_name", "file_seq", "record_id", "entity", F.col("key").alias("member"), json_type(F.col("value")).alias("type"), raw.alias("raw"))
+    other = [c for c in ("record_id", "line_no") if c in drops.columns]
+    rows = drops.select(*FILE, *other, "body", F.try_parse_json("body").alias("v"))
+    body = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("body"))
+    rows = rows.select(*FILE, *other, F.from_json(body, T.MapType(T.StringType(), T.VariantType())).alias("values"))
+    raw = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+    members = F.transform_values("values", lambda _, v: F.struct(F.coalesce(json_type(v), F.lit("null")).alias("type"), raw(v).alias("raw")))
+    return materialize(rows.select(*FILE, *other, members.alias("members"))).withColumn("entity", F.try_element_at("members", F.lit(key_member))["raw"])
+
+
+def line_members(lines: DataFrame) -> DataFrame:
+    """(feed, file_seq, file_name, entity, member, type, raw, first) of the members of :func:`line_maps`.
+
+    ``first`` marks one row of every line that parses; an empty object has one row without a member.
+    """
+    rows = lines.filter("members IS NOT NULL").select(*FILE, "entity", F.posexplode_outer(F.map_entries("members")).alias("pos", "m"))
+    return rows.select(*FILE, "entity", F.col("m.key").alias("member"), "m.value.type", "m.value.raw", (F.coalesce("pos", F.lit(0)) == 0).alias("first"))
+
+
+def longest_scalar(raw: Column) -> Column:
+    """The longest scalar in a list or object given as JSON text (ties: last by text); null if it has none."""
+    scalars = F.regexp_extract_all(F.regexp_replace(raw, r'"[^"]*":', ""), F.lit(r'"([^"]*)"|([^",\[\]{}]+)'), F.lit(0))
+    return F.array_max(F.transform(scalars, lambda x: F.struct(F.length(x).alias("n"), F.translate(x, '"', "").alias("x"))))["x"]
 
 
 def with_comparable(values: DataFrame) -> DataFrame:
@@ -59,8 +80,7 @@ def with_comparable(values: DataFrame) -> DataFrame:
     for 0 or 1. ``raw`` of lists and objects is compact JSON with sorted members. Each step is a
     column of its own, so that no expression is evaluated twice.
     """
-    scalars = F.regexp_extract_all(F.regexp_replace("raw", r'"[^"]*":', ""), F.lit(r'"([^"]*)"|([^",\[\]{}]+)'), F.lit(0))
-    longest = F.array_max(F.transform(scalars, lambda x: F.struct(F.length(x).alias("n"), F.translate(x, '"', "").alias("x"))))["x"]
+    longest = longest_scalar(F.col("raw"))
     one = values.withColumn("val", F.lower(F.trim(F.when(F.col("type").isin("array", "object"), F.coalesce(longest, F.col("raw"))).otherwise(F.col("raw")))))
     one = one.withColumn("val", F.when(F.col("val") == "true", "1").when(F.col("val") == "false", "0").otherwise(F.col("val")))
     return one.withColumn("val", F.coalesce(F.col("val").try_cast("double").cast("string"), F.col("val")))
@@ -69,27 +89,27 @@ def with_comparable(values: DataFrame) -> DataFrame:
 def file_fields(members: DataFrame) -> DataFrame:
     """(feed, file_seq, file_name, member, type): the fields that belong to each file.
 
-    Lines are told apart by ``record_id``; a repeated line counts as often as it was delivered.
     A field belongs to a file if at least half of its parsable lines hold the member, null included;
-    its type is that of most non-null values (``null`` if there are none; ties: first by name).
+    a line counts as often as it was delivered. Its type is that of most non-null values (``null`` if
+    there are none; ties: first by name).
     """
-    file = ["feed", "file_seq", "file_name"]
-    counts = members.groupBy(*file, "member", "type").agg(F.count("*").alias("n"))
-    lines = members.groupBy(*file, "record_id").agg(F.lit(1).alias("one")).groupBy(*file).agg(F.count("*").alias("lines"))
+    counts = members.groupBy(*FILE, "member", "type").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("long")).alias("lines"))
     best = F.max(F.struct(F.when(F.col("type") != "null", F.col("n")).otherwise(0).alias("n"), F.negative(F.ascii("type")).alias("order"), F.col("type").alias("type")))
-    per = counts.groupBy(*file, "member").agg(F.sum("n").alias("held"), best.alias("best"))
-    return per.join(lines, file).filter(F.col("held") * 2 >= F.col("lines")).select(*file, "member", F.col("best.type").alias("type"))
+    per = counts.groupBy(*FILE, "member").agg(F.sum("n").alias("held"), best.alias("best"), F.sum("lines").alias("lines"))
+    # one short row per file and member
+    per = per.withColumn("lines", F.sum("lines").over(W.Window.partitionBy(*FILE)))
+    return per.filter("member IS NOT NULL AND held * 2 >= lines").select(*FILE, "member", F.col("best.type").alias("type"))
 
 
 def successions(drops: DataFrame) -> DataFrame:
-    """(file_name, old_file): each file and the file before it by ``file_seq``.
+    """(file, old): each file, as a struct, and the file before it by ``file_seq``.
 
     Files without a parsable line count as files. Names that share one ``file_seq`` follow each
     other by name.
     """
-    files = drops.filter("feed IS NOT NULL AND file_seq IS NOT NULL AND file_name IS NOT NULL").groupBy("feed", "file_seq", "file_name").agg(F.lit(1).alias("one"))
+    files = drops.filter("feed IS NOT NULL AND file_seq IS NOT NULL AND file_name IS NOT NULL").groupBy(*FILE).agg(F.lit(1).alias("one"))
     w = W.Window.partitionBy("feed").orderBy("file_seq", "file_name")
-    return files.select("file_name", F.lag("file_name").over(w).alias("old_file")).filter("old_file IS NOT NULL")
+    return files.select(F.struct(*FILE).alias("file"), F.lag(F.struct(*FILE)).over(w).alias("old")).filter("old IS NOT NULL")
 
 
 def _words(name: Column) -> Column:
@@ -100,17 +120,17 @@ def _words(name: Column) -> Column:
 def _scores(grid: DataFrame, members: DataFrame) -> DataFrame:
     """Scores of each removed member against each added one of the same file.
 
-    ``grid`` (file_name, old_file, old_name, new_name) is as short as the files' changed fields are
-    few; only those members' values are moved. All figures of a pair come from one contingency
-    pass: values by record, then by value, then by pair.
+    ``grid`` (file, old, old_name, new_name) is as short as the files' changed fields are few; only
+    those members' values are moved. All figures of a pair come from one contingency pass: values by
+    record, then by value, then by pair.
     """
-    pair = ["file_name", "old_name", "new_name"]
-    values = members.filter("type != 'null' AND entity IS NOT NULL").select(F.col("file_name").alias("at"), "member", "entity", "raw", "type")
+    pair = ["file", "old_name", "new_name"]
+    values = members.filter("type != 'null' AND entity IS NOT NULL").select(F.struct(*FILE).alias("at"), "member", "entity", "raw", "type")
     # the pairs a member of a file takes part in, whichever side it is on
-    sides = grid.select(*pair, F.explode(F.array(F.struct(F.col("old_file").alias("at"), F.col("old_name").alias("member"), F.lit(True).alias("old")), F.struct(F.col("file_name").alias("at"), F.col("new_name").alias("member"), F.lit(False).alias("old")))).alias("s"))
+    sides = grid.select(*pair, F.explode(F.array(F.struct(F.col("old").alias("at"), F.col("old_name").alias("member"), F.lit(True).alias("is_old")), F.struct(F.col("file").alias("at"), F.col("new_name").alias("member"), F.lit(False).alias("is_old")))).alias("s"))
     rows = with_comparable(values.join(sides.select(*pair, "s.*"), ["at", "member"]))
     # a record that repeats within a file keeps its smallest value
-    per = rows.groupBy(*pair, "entity").agg(F.min(F.when(F.col("old"), F.col("val"))).alias("ov"), F.min(F.when(~F.col("old"), F.col("val"))).alias("nv"))
+    per = rows.groupBy(*pair, "entity").agg(F.min(F.when(F.col("is_old"), F.col("val"))).alias("ov"), F.min(F.when(~F.col("is_old"), F.col("val"))).alias("nv"))
     both = F.when(F.col("ov").isNotNull() & F.col("nv").isNotNull(), 1).otherwise(0)
     same = F.when(F.col("ov") == F.col("nv"), 1).otherwise(0)
     cell = lambda v, r, c, e, o, n: F.struct(v.alias("val"), r.alias("r"), c.alias("c"), e.alias("e"), F.lit(o).alias("o"), F.lit(n).alias("n"))
@@ -146,11 +166,11 @@ def schema_changes(drops: DataFrame, key_member: str = "id") -> DataFrame:
     The fields that differ between two files, and the renames among them, are two short tables
     (rows per file and field) kept in the session's shared folder.
     """
-    diff, removed, added, renamed = _differences(drops, line_members(drops, key_member))
-    row = lambda df, change, a, b: df.select("file_name", F.lit(change).alias("change"), a.alias("old_name"), b.alias("new_name"))
+    diff, removed, added, renamed = _differences(drops, line_members(line_maps(drops, key_member)))
+    row = lambda df, change, a, b: df.select("file.file_name", F.lit(change).alias("change"), a.alias("old_name"), b.alias("new_name"))
     empty, same, differs = F.lit(""), F.col("member"), "old_type != new_type AND old_type != 'null' AND new_type != 'null'"
-    out = row(removed.join(renamed, ["file_name", "old_name"], "left_anti"), "removed", F.col("old_name"), empty)
-    out = out.unionByName(row(added.join(renamed, ["file_name", "new_name"], "left_anti"), "added", empty, F.col("new_name")))
+    out = row(removed.join(renamed, ["file", "old_name"], "left_anti"), "removed", F.col("old_name"), empty)
+    out = out.unionByName(row(added.join(renamed, ["file", "new_name"], "left_anti"), "added", empty, F.col("new_name")))
     out = out.unionByName(row(renamed, "renamed", F.col("old_name"), F.col("new_name")))
     out = out.unionByName(row(renamed.filter(differs), "retyped", F.col("old_name"), F.col("new_name")))
     return out.unionByName(row(diff.filter(differs), "retyped", same, same))
@@ -158,32 +178,34 @@ def schema_changes(drops: DataFrame, key_member: str = "id") -> DataFrame:
 
 def _differences(drops: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Fields that differ between successive files; of these the removed, the added and the renamed ones."""
-    fields = file_fields(members).select("file_name", "member", "type")
+    fields = file_fields(members).select(F.struct(*FILE).alias("at"), "member", "type")
+    # one join: a file's fields are the new ones of its own step and the old ones of the next
     steps = successions(drops)
-    new = steps.join(fields.withColumnRenamed("type", "new_type"), "file_name").select("file_name", "old_file", "member", "new_type")
-    old = steps.join(fields.select(F.col("file_name").alias("old_file"), "member", F.col("type").alias("old_type")), "old_file").select("file_name", "old_file", "member", "old_type")
-    diff = new.unionByName(old, allowMissingColumns=True).groupBy("file_name", "old_file", "member").agg(F.max("old_type").alias("old_type"), F.max("new_type").alias("new_type"))
+    sides = steps.select("file", "old", F.explode(F.array(F.struct(F.col("file").alias("at"), F.lit(True).alias("is_new")), F.struct(F.col("old").alias("at"), F.lit(False).alias("is_new")))).alias("s")).select("file", "old", "s.*")
+    side = lambda new: F.max(F.when(F.col("is_new") == new, F.col("type")))
+    diff = sides.join(fields, "at").groupBy("file", "old", "member").agg(side(False).alias("old_type"), side(True).alias("new_type"))
     diff = materialize(diff.filter("NOT (old_type <=> new_type)"))
 
-    removed = diff.filter("new_type IS NULL").select("file_name", "old_file", F.col("member").alias("old_name"), "old_type")
-    added = diff.filter("old_type IS NULL").select("file_name", F.col("member").alias("new_name"), "new_type")
-    grid = removed.join(added, "file_name").drop("old_type", "new_type")
+    removed = diff.filter("new_type IS NULL").select("file", "old", F.col("member").alias("old_name"), "old_type")
+    added = diff.filter("old_type IS NULL").select("file", F.col("member").alias("new_name"), "new_type")
+    grid = removed.join(added, "file").drop("old_type", "new_type")
     # one-to-one: keep the pairs that are the best of both their members
-    best = lambda name: F.row_number().over(W.Window.partitionBy("file_name", name).orderBy(F.desc("score"), "old_name", "new_name"))
+    best = lambda name: F.row_number().over(W.Window.partitionBy("file", name).orderBy(F.desc("score"), "old_name", "new_name"))
     scored = _scores(grid, members).withColumn("r", best("old_name")).withColumn("s", best("new_name")).filter("r = 1 AND s = 1")
-    renamed = materialize(scored.select("file_name", "old_name", "new_name").join(removed.drop("old_file"), ["file_name", "old_name"]).join(added, ["file_name", "new_name"]))
+    renamed = materialize(scored.select("file", "old_name", "new_name").join(removed.drop("old"), ["file", "old_name"]).join(added, ["file", "new_name"]))
     return diff, removed, added, renamed
 
 
-#: Seed names and type of each field of the consistent table; other names follow from the renames.
+#: Fields of the consistent table: the names that the Info JSON format gives each, and its type.
+#: Whatever else a feed calls them is found by its renames.
 FIELD_NAMES = {
     "id": (["id"], "string"),
     "title": (["title"], "string"),
-    "channel_url": (["channel_url", "uploader_url", "channelUrl", "channel_link"], "string"),
-    "duration_sec": (["duration", "duration_sec"], "double"),
-    "follower_count": (["channel_follower_count", "follower_count"], "bigint"),
-    "is_live": (["is_live", "isLive", "live_now"], "boolean"),
-    "language": (["language", "lang", "original_language", "audio_language"], "string"),
+    "channel_url": (["uploader_url", "channel_url"], "string"),
+    "duration_sec": (["duration"], "double"),
+    "follower_count": (["channel_follower_count"], "bigint"),
+    "is_live": (["is_live"], "boolean"),
+    "language": (["language", "original_language"], "string"),
 }
 
 
@@ -215,19 +237,21 @@ def _chained(files: list[list[tuple[str, str]]], seed: dict[str, tuple[str, int]
             return found
 
 
-def field_members(drops: DataFrame, fields: dict[str, tuple[list[str], str]] | None = None, key_member: str = "id") -> DataFrame:
-    """(feed, file_seq, file_name, field, rank, member): members other than seeds that carry a field in a file.
+def field_members(drops: DataFrame, lines: DataFrame, fields: dict[str, tuple[list[str], str]] | None = None) -> DataFrame:
+    """(feed, file_seq, file_name, field, rank, member): members that carry a field, under a name which
+    is no seed, in the lines of a file.
 
-    The fields of each file are chained along the feed by the renames that ``schema_changes``
-    reports. ``rank`` is the place of the seed name that the chain leads to. A feed's rows, one per
-    file and field, are chained in one task.
+    The fields of a file are chained along the feed by the renames that ``schema_changes`` reports;
+    ``rank`` is the place of the seed name that the chain leads to. A feed's rows, one per file and
+    field, are chained in one task. A name that the feed's own renames do not explain means what it
+    means in most files of other feeds (ties: first by name), with ``rank`` after all seeds.
     """
     seed = {m: (name, rank) for name, (members, _) in reversed((fields or FIELD_NAMES).items()) for rank, m in reversed(list(enumerate(members)))}
-    members = line_members(drops, key_member)
-    renamed = _differences(drops, members)[3].select("file_name", F.col("new_name").alias("member"), F.col("old_name").alias("was"))
+    members = line_members(lines)
+    renamed = _differences(drops, members)[3].select("file.*", F.col("new_name").alias("member"), F.col("old_name").alias("was"))
     held = file_fields(members).filter("feed IS NOT NULL AND file_seq IS NOT NULL AND file_name IS NOT NULL")
-    rows = held.join(renamed, ["file_name", "member"], "left").select("feed", "file_seq", "file_name", "member", F.coalesce("was", "member").alias("was"))
-    schema = T.StructType([*(rows.schema[c] for c in ("feed", "file_seq", "file_name")), T.StructField("field", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("member", T.StringType())])
+    rows = held.join(renamed, [*FILE, "member"], "left").select(*FILE, "member", F.coalesce("was", "member").alias("was"))
+    schema = T.StructType([*(rows.schema[c] for c in FILE), T.StructField("field", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("member", T.StringType())])
 
     def one_feed(group: pa.Table) -> pa.Table:
         files: dict[tuple[int, str], list[tuple[str, str]]] = {}
@@ -238,11 +262,12 @@ def field_members(drops: DataFrame, fields: dict[str, tuple[list[str], str]] | N
         kinds = [group["feed"].type, group["file_seq"].type, group["file_name"].type, pa.string(), pa.int32(), pa.string()]
         return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=schema.fieldNames())
 
-    return rows.groupBy("feed").applyInArrow(one_feed, schema)
-
-
-def _of_field(name: str) -> Callable[[Column], Column]:
-    return lambda x: x["field"] == name
+    per_file = materialize(rows.groupBy("feed").applyInArrow(one_feed, schema))
+    votes = per_file.groupBy("member", "field").agg(F.count("*").alias("n"))
+    meant = votes.groupBy("member").agg(F.max_by("field", F.struct("n", F.negative(F.ascii("field")).alias("order"), "field")).alias("field"))
+    others = members.filter("member IS NOT NULL").select(*FILE, "member").distinct().join(meant, "member").select(*FILE, "field", F.lit(len(seed)).alias("rank"), "member")
+    both = per_file.unionByName(others).groupBy(*FILE, "member").agg(F.min(F.struct("rank", "field")).alias("f"))
+    return both.select(*FILE, "f.field", "f.rank", "member")
 
 
 def consistent_table(drops: DataFrame, fields: dict[str, tuple[list[str], str]] | None = None, key_member: str = "id") -> DataFrame:
@@ -250,36 +275,28 @@ def consistent_table(drops: DataFrame, fields: dict[str, tuple[list[str], str]]
 
     Columns: record_id, feed, file_name, file_seq, line_no, parsed, one column per field,
     ``failed_casts`` (fields whose value could not take the column's type) and ``rest`` (members of
-    no field, as a map). A field is read from its seed names and, file by file, from the members
-    that ``field_members`` finds. A list or object gives its first value; a line that does not parse
-    keeps its row with ``parsed`` false and nulls. Of several members of one field the first
-    non-null wins, in the order of the seed names.
+    no field, as a map). A field is read from its seed names, then from the members that the file's
+    own renames lead to, then from those that other feeds' renames do; the first non-null wins. A
+    list or object gives the longest scalar in it, and 0 and 1 are booleans too. A line that does not
+    parse keeps its row with ``parsed`` false and nulls.
     """
     fields = fields or FIELD_NAMES
-    file = ["feed", "file_seq", "file_name"]
-    name = F.struct("field", "rank", F.lit(1).alias("found"), "member")
-    per_file = materialize(field_members(drops, fields, key_member).groupBy(*file).agg(F.array_sort(F.collect_list(name)).alias("found")))
-    # every line of a file reads the same members: those of a field in the order of their seeds
-    seeds = {n: F.array(*[F.struct(F.lit(n).alias("field"), F.lit(i).alias("rank"), F.lit(0).alias("found"), F.lit(m).alias("member")) for i, m in enumerate(members)]) for n, (members, _) in fields.items()}
-    ordered = {n: F.transform(F.array_sort(F.concat(s, F.filter("found", _of_field(n)))), lambda x: x["member"]) for n, s in seeds.items()}
-    per_file = per_file.select(*file, F.struct(*[o.alias(n) for n, o in ordered.items()]).alias("names"), F.transform("found", lambda x: x["member"]).alias("more"))
-    v = F.try_parse_json("body")
-    lines = drops.select("record_id", "feed", "file_name", "file_seq", "line_no", v.alias("v"))
-    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    lines = lines.withColumn("v", F.when(is_object, F.col("v"))).join(per_file, file, "left")
-    lines = lines.withColumn("values", F.from_json(F.to_json("v"), T.MapType(T.StringType(), T.VariantType())))
-
-    def value(member: Column) -> Column:
-        x = F.try_element_at("values", member)
-        one = F.try_variant_get(x, "$", "string")
-        first = F.coalesce(F.try_variant_get(x, "$[0]", "string"), F.try_variant_get(x, "$.url", "string"))
-        return F.when(F.coalesce(one.startswith("["), F.lit(False)) | F.coalesce(one.startswith("{"), F.lit(False)), F.coalesce(first, one)).otherwise(one)
-
-    known = sorted({m for members, _ in fields.values() for m in members})
-    seeded = {n: F.array(*map(F.lit, members)) for n, (members, _) in fields.items()}
-    lines = lines.withColumns({f"_{n}": F.get(F.filter(F.transform(F.coalesce(F.col(f"names.{n}"), s), value), lambda x: x.isNotNull()), 0) for n, s in seeded.items()})
-    typed = {n: F.col(f"_{n}").try_cast(t) for n, (_, t) in fields.items()}
-    failed = F.filter(F.array(*[F.when(F.col(f"_{n}").isNotNull() & typed[n].isNull(), F.lit(n)) for n in fields]), lambda x: x.isNotNull())
-    more = F.coalesce("more", F.array().cast("array<string>"))
-    rest = F.map_filter(F.from_json(F.to_json("v"), T.MapType(T.StringType(), T.StringType())), lambda k, _: ~k.isin(*known) & ~F.array_contains(more, k))
-    return lines.select("record_id", "feed", "file_name", "file_seq", "line_no", F.col("v").isNotNull().alias("parsed"), *[c.alias(n) for n, c in typed.items()], failed.alias("failed_casts"), rest.alias("rest"))
+    lines = line_maps(drops, key_member)
+    found = field_members(drops, lines, fields).groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("rank", "member", "field"))).alias("found"))
+    found = found.select(*[F.col(c).alias(f"found_{c}") for c in FILE], "found")
+    rows = lines.join(found, [F.col(c).eqNullSafe(F.col(f"found_{c}")) for c in FILE], "left")
+
+    def names(field: str) -> Column:
+        more = F.transform(F.filter("found", lambda x: x["field"] == field), lambda x: x["member"])
+        return F.concat(F.array(*map(F.lit, fields[field][0])), F.coalesce(more, F.array().cast("array<string>")))
+
+    rows = rows.withColumns({f"_{n}": names(n) for n in fields})
+    first = lambda ms: F.get(F.filter(F.transform(ms, lambda m: F.try_element_at("members", m)), lambda x: x["raw"].isNotNull() & (x["type"] != "null")), 0)
+    rows = rows.withColumns({f"v_{n}": first(F.col(f"_{n}")) for n in fields})
+    shown = {n: F.when(F.col(f"v_{n}.type").isin("array", "object"), F.coalesce(longest_scalar(F.col(f"v_{n}.raw")), F.col(f"v_{n}.raw"))).otherwise(F.col(f"v_{n}.raw")) for n in fields}
+    rows = rows.withColumns({f"v_{n}": x for n, x in shown.items()})
+    typed = {n: F.col(f"v_{n}").try_cast(t) for n, (_, t) in fields.items()}
+    failed = F.filter(F.array(*[F.when(F.col(f"v_{n}").isNotNull() & typed[n].isNull(), F.lit(n)) for n in fields]), lambda x: x.isNotNull())
+    used = F.flatten(F.array(*[F.col(f"_{n}") for n in fields]))
+    rest = F.transform_values(F.map_filter("members", lambda k, _: ~F.array_contains(used, k)), lambda _, x: F.when(x["type"] != "null", x["raw"]))
+    return rows.select("record_id", "feed", "file_name", "file_seq", "line_no", F.col("members").isNotNull().alias("parsed"), *[c.alias(n) for n, c in typed.items()], failed.alias("failed_casts"), rest.alias("rest"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.operators.coverage import coverage, to_ms
-from spanwise.operators.drift import consistent_table, file_fields, line_members, schema_changes
+from spanwise.operators.drift import consistent_table, file_fields, line_maps, line_members, schema_changes
 from spanwise.operators.nested import flat_table, nested_nodes, record_table, unparsed
 from spanwise.session import table
 
@@ -70,7 +70,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_fields(spark: SparkSession, d: str) -> DataFrame:
-    return file_fields(line_members(table(spark, d, "video_drops"))).select("file_name", "member", "type")
+    return file_fields(line_members(line_maps(table(spark, d, "video_drops")))).select("feed", "file_name", "member", "type")
 
 
 QUERIES = {f"p3_{a}": _table(a) for a in TABLES} | {f.__name__: f for f in (p3_found, p3_records, p3_unparsed, p4_found, p4_totals, p5_found, p5_table, p5_fields)}
@@ -79,9 +79,9 @@ _TREE = "WITH t AS (SELECT r.record_id, j.type, j.atom, j.id AS nid, j.parent AS
 _ELEMENTS = _TREE + ", e AS (SELECT record_id, nid, path AS child_path, regexp_extract(holder, '([A-Za-z_]+)$', 1) AS arr, CASE WHEN contains(substr(holder, 3), '.') THEN regexp_replace(substr(holder, 3), '[.][A-Za-z_]+$', '') ELSE '$' END AS parent_path, CAST(k AS INTEGER) AS ordinal, value FROM t WHERE type = 'OBJECT' AND regexp_matches(holder, '[.](entries|heatmap|chapters|marks|links)$') AND ends_with(path, ']'))"
 
 
-def _flat_sql(arr: str, columns: dict[str, str]) -> str:
-    cols = ", ".join(f"TRY_CAST(json_extract_string(value, '$.{c}') AS {t}) AS {c}" for c, t in columns.items())
-    return f"{_ELEMENTS} SELECT record_id, child_path, parent_path, ordinal, {cols} FROM e WHERE arr = '{arr}'"
+def _columns(value: str, columns: dict[str, str]) -> str:
+    scalar = f"CASE WHEN json_type({value}, '$.{{0}}') NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string({value}, '$.{{0}}') END"
+    return ", ".join(f"TRY_CAST({scalar.format(c)} AS {'VARCHAR' if t == 'string' else t}) AS {c}" for c, t in columns.items())
 
 
 _PIECES = """WITH i AS (
@@ -95,22 +95,20 @@ l AS (SELECT *, lag(end_ms) OVER (PARTITION BY entity_kind, entity_id ORDER BY s
 pieces AS (SELECT entity_kind, entity_id, 'period' AS piece, start_ms, end_ms FROM l
   UNION ALL SELECT entity_kind, entity_id, 'gap', prior, start_ms FROM l WHERE prior IS NOT NULL)"""
 
-_FIELDS = """WITH lines AS (SELECT file_name, record_id, body FROM video_drops WHERE body IS NOT NULL AND body <> '' AND json_valid(body) AND json_type(body) = 'OBJECT'),
-m AS (SELECT file_name, record_id, j.key AS member, CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type FROM lines, json_each(lines.body) j),
-n AS (SELECT file_name, count(DISTINCT record_id) AS lines FROM m GROUP BY 1),
-c AS (SELECT file_name, member, type, count(*) AS n FROM m GROUP BY 1, 2, 3),
-h AS (SELECT file_name, member, sum(n) AS held FROM c GROUP BY 1, 2),
-b AS (SELECT file_name, member, type, row_number() OVER (PARTITION BY file_name, member ORDER BY CASE WHEN type = 'null' THEN 0 ELSE n END DESC, type) AS r FROM c)
-SELECT b.file_name, b.member, b.type FROM b JOIN h USING (file_name, member) JOIN n USING (file_name) WHERE r = 1 AND held * 2 >= lines"""
+_FIELDS = """WITH lines AS (SELECT feed, file_seq, file_name, body FROM video_drops WHERE body IS NOT NULL AND body <> '' AND json_valid(body) AND json_type(body) = 'OBJECT'),
+m AS (SELECT feed, file_seq, file_name, j.key AS member, CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type FROM lines, json_each(lines.body) j),
+n AS (SELECT feed, file_seq, file_name, count(*) AS lines FROM lines GROUP BY ALL),
+c AS (SELECT feed, file_seq, file_name, member, type, count(*) AS n FROM m GROUP BY ALL),
+h AS (SELECT feed, file_seq, file_name, member, sum(n) AS held FROM c GROUP BY ALL),
+b AS (SELECT feed, file_seq, file_name, member, type, row_number() OVER (PARTITION BY feed, file_seq, file_name, member ORDER BY CASE WHEN type = 'null' THEN 0 ELSE n END DESC, type) AS r FROM c)
+SELECT b.feed, b.file_name, b.member, b.type FROM b JOIN h USING (feed, file_seq, file_name, member) JOIN n USING (feed, file_seq, file_name) WHERE r = 1 AND held * 2 >= lines"""
 
 ORACLES = {
     "p3_found": f"{_ELEMENTS} SELECT record_id, child_path, parent_path FROM e",
-    "p3_heatmap": _flat_sql("heatmap", {"start_time": "DOUBLE", "end_time": "DOUBLE", "value": "DOUBLE"}),
-    "p3_chapters": _flat_sql("chapters", {"start_time": "DOUBLE", "end_time": "DOUBLE", "title": "VARCHAR"}),
-    "p3_marks": _flat_sql("marks", {"at_time": "DOUBLE", "label": "VARCHAR"}),
-    "p3_links": _flat_sql("links", {"url": "VARCHAR", "note": "VARCHAR"}),
+    "p3_records": f"SELECT record_id, {_columns('body', RECORD)} FROM info_json WHERE body IS NOT NULL AND body <> '' AND json_valid(body)",
     "p3_unparsed": "SELECT record_id FROM info_json WHERE body IS NULL OR body = '' OR NOT json_valid(body)",
     "p4_found": f"{_PIECES} SELECT * FROM pieces",
     "p4_totals": f"{_PIECES} SELECT entity_kind, entity_id, CAST(sum(CASE WHEN piece = 'period' THEN 1 ELSE 0 END) AS BIGINT) AS n_period, CAST(sum(CASE WHEN piece = 'period' THEN end_ms - start_ms ELSE 0 END) AS BIGINT) AS ms_period, CAST(sum(CASE WHEN piece = 'gap' THEN 1 ELSE 0 END) AS BIGINT) AS n_gap, CAST(sum(CASE WHEN piece = 'gap' THEN end_ms - start_ms ELSE 0 END) AS BIGINT) AS ms_gap FROM pieces GROUP BY 1, 2",
     "p5_fields": _FIELDS,
 }
+ORACLES |= {f"p3_{a}": f"{_ELEMENTS} SELECT record_id, child_path, parent_path, ordinal, {_columns('value', c)} FROM e WHERE arr = '{a}'" for a, c in TABLES.items()}
