@@ -16,19 +16,25 @@ from spanwise.operators.arrays import let
 REGION = "struct<start_bin: int, end_bin: int, peak_score: double, peak_bin: int, centroid: double>"
 
 
+#: Rows per key of the spans that events are joined with, so that a hot key's events part over tasks.
+SALTS = 16
+
+
 def event_profiles(events: DataFrame, key: str, value: str | None = None) -> DataFrame:
     """Profiles of a point stream: ``key``'s events between its first and last, in 100 equal bins.
 
     A bin's value is its count (or sum of ``value``) as a share of the fullest bin's. Rows with a
     null key or time are left out; a key whose events share one moment has a duration of 0 and its
-    events in bin 0. Counts are pre-aggregated per key and bin before they meet: a key's first and
-    last moment come from one aggregation, which is joined back by key.
+    events in bin 0. A key's first and last moment come from one pre-aggregated pass and meet its
+    events in SALTS parts, by a hash of the event's time; counts are pre-aggregated per key and bin.
     """
     rows = events.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(F.col(key).cast("string").alias("item_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), *([F.col(value).alias("v")] if value else []))
-    span = rows.groupBy("item_id").agg(F.min("us").alias("t0"), F.max("us").alias("t1"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    span = rows.groupBy("item_id").agg(F.min("us").alias("t0"), F.max("us").alias("t1")).select("*", salts)
     at = F.when(F.col("t1") > F.col("t0"), F.least(F.lit(N_BINS - 1), F.floor(F.lit(float(N_BINS)) * (F.col("us") - F.col("t0")) / (F.col("t1") - F.col("t0"))))).otherwise(0).cast("int")
     weight = F.coalesce(F.sum("v"), F.lit(0.0)) if value else F.count("*").cast("double")
-    bins = rows.join(span, "item_id").groupBy("item_id", "t0", "t1", at.alias("bin")).agg(weight.alias("w"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("us"), F.lit(SALTS)).cast("int"))
+    bins = rows.join(span, ["item_id", "salt"]).groupBy("item_id", "t0", "t1", at.alias("bin")).agg(weight.alias("w"))
     per = bins.groupBy("item_id", "t0", "t1").agg(F.map_from_entries(F.collect_list(F.struct("bin", "w"))).alias("by_bin"), F.max("w").alias("top"))
     duration = (F.col("t1") - F.col("t0")) / 1e6
     bins = F.sequence(F.lit(0), F.lit(N_BINS - 1))

@@ -11,11 +11,32 @@ from spanwise.functions.scalars import ass_timestamp, escape_ass, words
 from spanwise.operators.arrays import let
 
 
+#: Seconds of the buckets in which cues and clips, or successive segments, meet.
+MINUTE = 60.0
+#: Longer cues than 2 ** LEVELS minutes meet clips at the last level, in as many buckets as they span.
+LEVELS = 24
+
+
 def trim_to_clips(cues: DataFrame, clips: DataFrame, offset: float = 0.0) -> DataFrame:
     """(item_id, clip_index, cue_idx, start_sec, end_sec, text): cues that overlap a clip, cut to it,
-    in the clip's time. ``cues`` is clean (start_ms, end_ms); an item has at most ten clips."""
+    in the clip's time. ``cues`` is clean (start_ms, end_ms); clips are a few minutes long at most.
+
+    A cue that begins within a clip meets it by the minute of its start. One that begins before the
+    clip and lasts into it meets the clip's start in buckets as wide as the cue is long (a power of
+    two minutes), of which it touches at most two. So an equi-join finds each pair once, and a hot
+    item's cues stay spread over its minutes.
+    """
     c = cues.select("item_id", "cue_idx", (F.col("start_ms") / 1000).alias("cs"), (F.col("end_ms") / 1000).alias("ce"), "text")
-    both = clips.select("item_id", "clip_index", F.col("start_sec").alias("s"), F.col("end_sec").alias("e")).join(c, "item_id").filter("cs < e AND ce > s")
+    at = lambda x, level: F.floor(x / (MINUTE * F.pow(F.lit(2.0), level))).cast("long")
+    key = lambda level, b: F.struct(level.cast("int").alias("level"), b.alias("b"))
+    level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log2((F.col("ce") - F.col("cs")) / MINUTE)))).cast("int")
+    over = F.transform(F.sequence(at(F.col("cs"), level), at(F.col("ce"), level)), lambda b: key(level, b))
+    keyed = c.select("*", F.explode(F.concat(F.array(key(F.lit(-1), at(F.col("cs"), F.lit(0)))), over)).alias("k"))
+    own = clips.select("item_id", "clip_index", F.col("start_sec").alias("s"), F.col("end_sec").alias("e"))
+    minutes = F.transform(F.sequence(at(F.col("s"), F.lit(0)), at(F.col("e"), F.lit(0))), lambda b: key(F.lit(-1), b))
+    starts = F.array(*[key(F.lit(n), at(F.col("s"), F.lit(n))) for n in range(LEVELS + 1)])
+    both = own.select("*", F.explode(F.concat(minutes, starts)).alias("k")).join(keyed, ["item_id", "k"])
+    both = both.filter(F.when(F.col("k.level") < 0, (F.col("cs") >= F.col("s")) & (F.col("cs") < F.col("e"))).otherwise((F.col("cs") < F.col("s")) & (F.col("ce") > F.col("s"))))
     start = F.greatest("cs", "s") - F.col("s") + offset
     end = F.least("ce", "e") - F.col("s") + offset
     return both.select("item_id", "clip_index", "cue_idx", start.alias("start_sec"), end.alias("end_sec"), "text").filter("end_sec > start_sec")
@@ -51,9 +72,20 @@ def split_cues(cues: DataFrame, keys: list[str], cfg: SubtitleConfig = SubtitleC
 
 
 def chain(segments: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Segments that end where the next begins if they overlap it; what has no length left is dropped."""
-    w = W.Window.partitionBy(*group).orderBy("start_sec", *order)
-    return segments.withColumn("end_sec", F.least("end_sec", F.coalesce(F.lead("start_sec").over(w), F.col("end_sec")))).filter("end_sec > start_sec")
+    """Segments that end where the next begins if they overlap it; what has no length left is dropped.
+
+    Segments are ordered within minutes of their group. Each minute also has a row for the first
+    start of the next one that has segments, found from one short row per minute, so that a hot
+    group's segments spread over many tasks.
+    """
+    minute = F.floor(F.col("start_sec") / MINUTE)
+    rows = segments.withColumn("_minute", minute)
+    heads = rows.groupBy(*group, "_minute").agg(F.min("start_sec").alias("start_sec"))
+    before = heads.withColumn("_minute", F.lag("_minute").over(W.Window.partitionBy(*group).orderBy("_minute"))).filter("_minute IS NOT NULL")
+    both = rows.withColumn("_own", F.lit(True)).unionByName(before, allowMissingColumns=True)
+    w = W.Window.partitionBy(*group, "_minute").orderBy("start_sec", *order)
+    cut = both.withColumn("end_sec", F.least("end_sec", F.coalesce(F.lead("start_sec").over(w), F.col("end_sec"))))
+    return cut.filter("_own AND end_sec > start_sec").drop("_minute", "_own")
 
 
 def ass_text(segments: DataFrame, group: list[str], cfg: SubtitleConfig = SubtitleConfig()) -> DataFrame:

@@ -32,11 +32,11 @@ def cue_durations(cues: DataFrame) -> DataFrame:
     return clean_cues(cues).groupBy("item_id").agg((F.max("end_ms") / 1000).alias("duration"))
 
 
-def caption_profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Heat profiles and durations of captioned videos, by caption_id, where Info JSON has them."""
+def caption_heat(spark: SparkSession, d: str) -> DataFrame:
+    """Heat profiles of captioned videos, by caption_id, where Info JSON has them."""
     heat = parsed_info(spark, d).filter("reason IS NULL AND vals IS NOT NULL AND video_id != ''").groupBy("video_id").agg(F.min_by(F.struct("bin_seconds", "vals"), "record_id").alias("p"))
     docs = table(spark, d, "caption_docs").select(F.col("caption_id").cast("string").alias("item_id"), "video_id").distinct()
-    return docs.join(heat, "video_id").select("item_id", "p.bin_seconds", "p.vals"), cue_durations(caption_cues(spark, d))
+    return docs.join(heat, "video_id").select("item_id", "p.bin_seconds", "p.vals")
 
 
 def document_cues(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from spanwise.functions import text as txt
 from spanwise.functions.lexicon import DEFAULT_MARKERS, MAGNITUDES
 from spanwise.operators import captions, fuse, planning, profile, subtitles
 from spanwise.plans import profiles
-from spanwise.plans.adapters import caption_cues, caption_profiles, cue_durations, document_cues
+from spanwise.plans.adapters import caption_cues, caption_heat, cue_durations, document_cues
 from spanwise.session import materialize, table
 from spanwise.sources import info_json, sinks, vtt
 
@@ -30,8 +31,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
-    cues = caption_cues(spark, d)
-    return captions.score_windows(cues, cue_durations(cues))
+    return captions.score_windows(caption_cues(spark, d))
 
 
 def cues_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -86,14 +86,16 @@ def position_prior(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cold_open_echo(spark: SparkSession, d: str) -> DataFrame:
-    return captions.cold_open_echoes(captions.mark(_clean(spark, d)), _items(spark, d))
+    return captions.cold_open_echoes(*_usable(captions.prepare(caption_cues(spark, d))))
+
+
+def _usable(prepared: captions.Prepared) -> captions.Prepared:
+    return prepared._replace(items=prepared.items.filter(F.col("cues") >= captions.CFG.least_cues))
 
 
 def cold_open_documents(spark: SparkSession, d: str) -> DataFrame:
     """The same on the documents, which have no usable word repeated across their length by design."""
-    cues = document_cues(spark, d)
-    clean = captions.clean_cues(cues)
-    return captions.cold_open_echoes(captions.mark(clean), captions.usable_items(clean, cue_durations(cues)))
+    return captions.cold_open_echoes(*_usable(captions.prepare(document_cues(spark, d))))
 
 
 def forward_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -116,19 +118,32 @@ def caption_nms(spark: SparkSession, d: str) -> DataFrame:
     return captions.candidates(_windows(spark, d)).select("item_id", "rank", *_r("start_sec", "end_sec", "score"))
 
 
-def _candidates(spark: SparkSession, d: str, windows: DataFrame | None = None) -> DataFrame:
-    return captions.with_hooks(captions.candidates(windows or _windows(spark, d)), caption_cues(spark, d))
+class _Scored(NamedTuple):
+    """Prepared cues and their windows, kept for the several steps that read them."""
+
+    cues: captions.Prepared
+    windows: DataFrame
+
+
+def _scored(spark: SparkSession, d: str) -> _Scored:
+    cues = captions.prepare(caption_cues(spark, d))
+    return _Scored(cues, materialize(captions.windows_of(cues)))
+
+
+def _candidates(scored: _Scored) -> DataFrame:
+    return captions.with_hooks(captions.candidates(scored.windows), scored.cues.marked)
 
 
 def captions_json(spark: SparkSession, d: str) -> DataFrame:
-    windows = materialize(_windows(spark, d))
-    chosen = _chosen(spark, d, windows).filter("mode IN ('fused', 'caption-only')").select("item_id", "mode")
-    return sinks.captions_json(_candidates(spark, d, windows), chosen.join(_langs(spark, d), "item_id", "left"), 0.4)
+    scored = _scored(spark, d)
+    chosen = _chosen(spark, d, scored).filter("mode IN ('fused', 'caption-only')").select("item_id", "mode")
+    return sinks.captions_json(_candidates(scored), chosen.join(_langs(spark, d), "item_id", "left"), 0.4)
 
 
-def _chosen(spark: SparkSession, d: str, windows: DataFrame | None = None) -> DataFrame:
-    heat, durations = caption_profiles(spark, d)
-    return fuse.choose_profile(heat, fuse.caption_arrays(captions.envelope(windows or _windows(spark, d))), durations)
+def _chosen(spark: SparkSession, d: str, scored: _Scored | None = None) -> DataFrame:
+    cues, windows = scored or _Scored(p := captions.prepare(caption_cues(spark, d)), captions.windows_of(p))
+    durations = cues.items.select("item_id", (F.col("duration_ms") / 1000).alias("duration"))
+    return fuse.choose_profile(caption_heat(spark, d), fuse.caption_arrays(captions.envelope(windows)), durations)
 
 
 def profile_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -140,20 +155,20 @@ def profile_mode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_mode_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    heat, durations = caption_profiles(spark, d)
+    heat = caption_heat(spark, d)
     none = heat.select("item_id", F.col("vals").alias("cap"))
-    return fuse.choose_profile(heat, none, durations, "heatmap").select("item_id", "mode")
+    return fuse.choose_profile(heat, none, cue_durations(caption_cues(spark, d)), "heatmap").select("item_id", "mode")
 
 
-def _planned(spark: SparkSession, d: str, windows: DataFrame | None = None) -> DataFrame:
-    clips = planning.plan(profile.detect(_chosen(spark, d, windows).filter("mode != 'rejected'")), PlanConfig())
+def _planned(spark: SparkSession, d: str, scored: _Scored | None = None) -> DataFrame:
+    clips = planning.plan(profile.detect(_chosen(spark, d, scored).filter("mode != 'rejected'")), PlanConfig())
     return clips.withColumn("label", F.lit(""))
 
 
-def _adopted(spark: SparkSession, d: str) -> DataFrame:
+def _adopted(spark: SparkSession, d: str, scored: _Scored | None = None) -> DataFrame:
     # windows serve both the envelope and the candidates, clips all that follows: each is kept once
-    windows = materialize(_windows(spark, d))
-    return materialize(fuse.adopt(_planned(spark, d, windows), _candidates(spark, d, windows)))
+    scored = scored or _scored(spark, d)
+    return materialize(fuse.adopt(_planned(spark, d, scored), _candidates(scored)))
 
 
 def clip_adoption(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +180,8 @@ def clip_hooks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clip_snap(spark: SparkSession, d: str) -> DataFrame:
-    return fuse.snap(_adopted(spark, d), _clean(spark, d)).select("item_id", "clip_index", *_r("start_sec", "end_sec"))
+    scored = _scored(spark, d)
+    return fuse.snap(_adopted(spark, d, scored), scored.cues.marked).select("item_id", "clip_index", *_r("start_sec", "end_sec"))
 
 
 def subtitle_split(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +195,8 @@ def subtitle_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subtitle_files(spark: SparkSession, d: str) -> DataFrame:
-    cut = subtitles.trim_to_clips(_clean(spark, d), materialize(_planned(spark, d)))
+    scored = _scored(spark, d)
+    cut = subtitles.trim_to_clips(scored.cues.marked, materialize(_planned(spark, d, scored)))
     parts = subtitles.split_cues(cut, ["item_id", "clip_index", "cue_idx"])
     return subtitles.ass_text(subtitles.chain(parts, ["item_id", "clip_index"], ["cue_idx", "part"]), ["item_id", "clip_index"])
 

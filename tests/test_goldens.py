@@ -85,7 +85,7 @@ def test_caption_scores(spark):
     cues = spark.createDataFrame(rows, "item_id string, cue_idx int, start_sec double, end_sec double, text string")
     dur = spark.createDataFrame([("beat", 600.0), ("deva", 600.0), ("promo", 600.0), ("cold", 1200.0), ("few", 600.0)], "item_id string, duration double")
     windows = captions.score_windows(cues, dur).cache()
-    cands = captions.with_hooks(captions.candidates(windows), cues).orderBy("item_id", "rank").collect()
+    cands = captions.with_hooks(captions.candidates(windows), captions.clean_cues(cues)).orderBy("item_id", "rank").collect()
     top = {r["item_id"]: r for r in reversed(cands)}
     assert top["beat"]["score"] == pytest.approx(20.02) and top["beat"]["four_beat"]
     assert (top["beat"]["start_sec"], top["beat"]["end_sec"]) == (300.0, 339.5)
