@@ -28,6 +28,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 CACHE_CHUNKS = 400_000
 CACHE_PAIRS = 1_000_000
 CACHE_NODES = 1_000_000
+#: Size of a vocabulary file at most.
+MOST_BYTES = 64 << 20
 #: Texts handled at a time within an Arrow batch.
 SLICE = 256
 
@@ -126,11 +128,11 @@ class Encoder:
         self.pairs[before, token] = known
         return known
 
-    def _last_token(self, path: bytes, states: list[int]) -> int:
-        """Last token of ``path``, given those of its proper prefixes."""
-        depth, get = len(path), self.ranks.get
+    def _last_token(self, word: bytes, depth: int, states: list[int]) -> int:
+        """Last token of the first ``depth`` bytes of ``word``, given those of its shorter prefixes."""
+        get = self.ranks.get
         for size in range(min(depth, self.longest), 0, -1):
-            tail = path[depth - size :]
+            tail = word[depth - size : depth]
             token = get(tail)
             if token is not None and self._is_whole(tail) and (size == depth or self._may_follow(states[depth - size], token)):
                 return token
@@ -157,7 +159,7 @@ class Encoder:
                 if below is None:
                     below = children[nodes[-1]][word[depth]] = len(children)
                     children.append({})
-                    last.append(self._last_token(word[: depth + 1], states))
+                    last.append(self._last_token(word, depth + 1, states))
                 nodes.append(below)
                 states.append(last[below])
             at, ids = len(word), []
@@ -250,9 +252,12 @@ _ENCODERS: dict[int, Encoder] = {}
 
 
 def vocabulary(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> Broadcast:
-    """The vocabulary file, sent once to each executor. Its size is that of the file, under a megabyte."""
+    """The vocabulary file, sent once to each executor. A file beyond MOST_BYTES is no vocabulary and an error."""
     with open(f"{folder}/{name}.tiktoken", "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        data = f.read(MOST_BYTES + 1)
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"{name} is larger than {MOST_BYTES} bytes")
+    return spark.sparkContext.broadcast(data)
 
 
 def encoder(vocab: Broadcast) -> Encoder:

@@ -13,15 +13,16 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
-from spanwise.llm.glyphs import canonical
+from spanwise.llm.glyphs import forms
 from spanwise.llm.tex import live_prose
 from spanwise.session import materialize
 
@@ -32,9 +33,10 @@ WORD_WEIGHT = 1.0
 SHARPNESS = 2.0
 #: Least sum a word's vote is divided by: words hardly known to any profile hardly vote.
 BACKGROUND = 0.5
-SLOT_BITS = 16
+#: Rate at which a profile's filter may answer for an n-gram it does not hold; it sizes the filters.
+FALSE_RATE = 1e-3
 K = 3
-#: Samples per label the filters are fitted on at most; the table of samples is far smaller.
+#: Samples per label the filters are fitted on, about: a sample by hash where a label has more.
 MAX_SAMPLES = 5_000
 CACHE_WORDS = 300_000
 #: A text whose words have less evidence than this has no language.
@@ -44,8 +46,6 @@ MIN_EVIDENCE = 0.2
 _MARK = re.compile(r"\[[^\]]*\]")
 # what is no letter or mark among the other characters; ASCII is dealt with by _BYTES
 _SIGN = re.compile("[^\\w\x00-\x7f\u0300-\u036f\u0600-\u06ff\u0900-\u0dff]|[\u06d4\u060c\u061b\u061f\u0964\u0965\u0660-\u0669\u06f0-\u06f9\u0966-\u096f]")
-#: Words of every language.
-_NEUTRAL = frozenset((b"ok", b"okay"))
 # letters and apostrophes stay, other ASCII parts words; bytes beyond ASCII belong to letters
 _BYTES = bytes(c if c >= 0x80 or chr(c).isalpha() or chr(c) == "'" else 0x20 for c in range(256))
 
@@ -72,13 +72,20 @@ class Numbered(dict):
         return number
 
 
-def _slots(grams: list[str]) -> np.ndarray:
-    """K slots of each n-gram, shape (n, K)."""
+def _slots(grams: list[str], n_slots: int) -> np.ndarray:
+    """K of ``n_slots`` (a power of two) slots of each n-gram, shape (n, K)."""
     h = np.fromiter((zlib.crc32(g.encode()) | (zlib.adler32(g.encode()) << 32) for g in grams), np.uint64, len(grams))
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    mask = np.uint64((1 << SLOT_BITS) - 1)
-    return np.stack([(h >> np.uint64(20 * i)) & mask for i in range(K)], axis=1).astype(np.int64)
+    h ^= h >> np.uint64(33)
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(h + np.uint64(i) * step) & np.uint64(n_slots - 1) for i in range(K)], axis=1).astype(np.int64)
+
+
+def slots_for(grams: int) -> int:
+    """Slots, a power of two, that keep a filter of so many n-grams at FALSE_RATE."""
+    fill = FALSE_RATE ** (1 / K)
+    return 1 << max(6, int(np.ceil(np.log2(max(1, grams) * K / -np.log(1 - fill)))))
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -96,28 +103,31 @@ def _profile(lang: str, text: str) -> str:
 
 
 class LanguageFilter:
-    """The filters, fitted on labelled samples; picklable, a few hundred kilobytes whatever the samples."""
+    """The filters, fitted on labelled samples; picklable.
+
+    A slot has as many 32-bit words as the profiles need. Each n-gram length has as many slots as
+    its largest profile needs for FALSE_RATE: some hundred kilobytes for samples of a few hundred
+    captions, and bounded by MAX_SAMPLES.
+    """
 
     def __init__(self, samples: list[tuple[str, str]]) -> None:
         samples = [(lang, unicodedata.normalize("NFC", t)) for lang, t in samples if lang and t]
         self.profiles = sorted({_profile(lang, t) for lang, t in samples})
-        if len(self.profiles) > 32:
-            raise ValueError("at most 32 profiles fit a slot")
         self.langs = sorted({p.split(":")[0] for p in self.profiles})
-        self.lang_of = np.array([self.langs.index(p.split(":")[0]) for p in self.profiles])
+        self.lang_of = np.array([self.langs.index(p.split(":")[0]) for p in self.profiles], np.int64)
         self.tables: dict[int, np.ndarray] = {}
         self.by_chance: dict[int, np.ndarray] = {}
         bags: dict[str, set[str]] = {p: set() for p in self.profiles}
         for lang, text in samples:
             bags[_profile(lang, text)].update(w.decode() for w in words_of(text))
         for n in [*WEIGHTS, 0]:
-            slots = np.zeros(1 << SLOT_BITS, np.uint32)
-            for bit, p in enumerate(self.profiles):
-                grams = sorted(bags[p]) if n == 0 else sorted({g for w in bags[p] for g in _grams(w, n)})
-                if grams:
-                    slots[_slots(grams).ravel()] |= np.uint32(1 << bit)
+            grams = [sorted(bags[p]) if n == 0 else sorted({g for w in bags[p] for g in _grams(w, n)}) for p in self.profiles]
+            slots = np.zeros((slots_for(max(map(len, grams), default=0)), -(-len(self.profiles) // 32)), np.uint32)
+            for bit, own in enumerate(grams):
+                if own:
+                    slots[_slots(own, len(slots)).ravel(), bit // 32] |= np.uint32(1 << bit % 32)
             self.tables[n] = slots
-            fill = np.array([np.count_nonzero(slots & np.uint32(1 << b)) for b in range(len(self.profiles))]) / len(slots)
+            fill = np.array([np.count_nonzero(slots[:, b // 32] & np.uint32(1 << b % 32)) for b in range(len(self.profiles))]) / len(slots)
             self.by_chance[n] = fill**K
         self._fresh()
 
@@ -142,8 +152,8 @@ class LanguageFilter:
         flat = [g for gs in grams for g in gs]
         hits = np.zeros((len(words), len(self.profiles)))
         if flat:
-            masks = np.bitwise_and.reduce(self.tables[n][_slots(flat)], axis=1)
-            bits = ((masks[:, None] >> np.arange(len(self.profiles), dtype=np.uint32)) & 1).astype(float)
+            masks = np.bitwise_and.reduce(self.tables[n][_slots(flat, len(self.tables[n]))], axis=1)
+            bits = ((masks[:, :, None] >> np.arange(32, dtype=np.uint32)) & 1).reshape(len(flat), -1)[:, : len(self.profiles)].astype(float)
             rarity = np.log2((len(self.profiles) + 1) / np.maximum(1, bits.sum(axis=1)))
             np.add.at(hits, np.repeat(np.arange(len(words)), sizes), bits * rarity[:, None])
         chance = self.by_chance[n]
@@ -163,7 +173,6 @@ class LanguageFilter:
         for p, lang in enumerate(self.lang_of):
             out[:, lang] = np.maximum(out[:, lang], total[:, p])
         out = out**SHARPNESS
-        out[[w.encode() in _NEUTRAL for w in words]] = 0
         return out / np.maximum(out.sum(axis=1, keepdims=True), BACKGROUND)
 
     def codes(self, bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,18 +215,26 @@ class LanguageFilter:
         return np.where(known, best, -1), confidence
 
 
-#: Other spellings of the languages' codes and names, lower case.
-SPELLINGS = {
-    "en": "en eng english inglés inglese anglais englisch",
-    "es": "es spa spanish español espanol castellano castilian esp",
-    "pt": "pt por portuguese português portugues",
-    "fr": "fr fra fre french français francais",
-    "de": "de deu ger german deutsch",
-    "ru": "ru rus russian русский",
-    "hi": "hi hin hindi हिन्दी हिंदी",
-    "ur": "ur urd urdu اردو",
-}
-_CODES = {s: code for code, names in SPELLINGS.items() for s in names.split()}
+#: Second codes and second names that the locale data of a JVM do not have.
+MORE_NAMES = {"ger": "de", "fre": "fr", "dut": "nl", "gre": "el", "cze": "cs", "rum": "ro", "chi": "zh", "per": "fa", "may": "ms", "slo": "sk", "castellano": "es", "castilian": "es", "esp": "es"}
+
+
+def spellings(spark: SparkSession, langs: Sequence[str]) -> dict[str, str]:
+    """Lower-case names and codes of ``langs`` (two-letter codes), each with its code.
+
+    They are the codes of two and three letters and the names that the driver's JVM has for each
+    language in each of ``langs`` and in the larger languages, with and without accents.
+    """
+    locale = spark.sparkContext._jvm.java.util.Locale
+    out = {}
+    for lang in langs:
+        own = locale.forLanguageTag(lang)
+        names = {lang, own.getISO3Language(), *(own.getDisplayLanguage(locale.forLanguageTag(x)) for x in {*langs, "en", "es", "fr", "de", "pt", "it", "ru", "ja", "zh", "ar", "hi", "tr", "nl", "pl"})}
+        names |= {k for k, v in MORE_NAMES.items() if v == lang}
+        for name in map(str.lower, names):
+            for spelled in (name, "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c))):
+                out.setdefault(unicodedata.normalize("NFC", spelled), lang)
+    return out
 
 
 #: Evidence by which a cue's language must exceed that of its document, as a share of its own.
@@ -225,19 +242,32 @@ FOREIGN_MARGIN = 0.4
 SLICE = 2_000
 
 
-def label_code(label: Column) -> Column:
-    """Language code a label names; null if it is missing or names none of the known languages.
+def label_code(label: Column, names: dict[str, str]) -> Column:
+    """Language code a label names; null if it is missing or is none of ``names`` (see :func:`spellings`).
 
     Case, outer blanks and whatever follows the first part (region, script, variant) do not matter.
     """
-    pairs = [F.lit(x) for spelling, code in _CODES.items() for x in (spelling, code)]
+    pairs = [F.lit(x) for spelling, code in names.items() for x in (spelling, code)]
     return F.try_element_at(F.create_map(*pairs), F.regexp_extract(F.lower(F.trim(label)), r"^[^\s_\-./(,;]+", 0))
 
 
+def bounded(samples: DataFrame, keys: list[str], most: int) -> list:
+    """Rows (keys, texts) of the distinct texts of each key; of more than ``most``, ``most`` by hash.
+
+    What is too much is dropped before anything is gathered: a text stays if its hash is below the
+    share that its key may keep.
+    """
+    rows = samples.select(*keys, "text").dropna().distinct()
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    share = F.xxhash64("text") / F.lit(2.0**64) + 0.5
+    kept = rows.join(sizes, keys).filter(share * F.col("n") < most)
+    texts = kept.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("text")), 1, 2 * most).alias("texts"))
+    return sorted(texts.collect(), key=lambda r: tuple(r[k] for k in keys))
+
+
 def fit(samples: DataFrame) -> LanguageFilter:
-    """Fits the filters on labelled samples (lang, text), at most MAX_SAMPLES of each label."""
-    per = samples.filter("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").agg(F.slice(F.array_sort(F.collect_set("text")), 1, MAX_SAMPLES).alias("texts"))
-    return LanguageFilter([(r["lang"], t) for r in sorted(per.collect(), key=lambda r: r["lang"]) for t in r["texts"]])
+    """Fits the filters on labelled samples (lang, text), about MAX_SAMPLES of each label at most."""
+    return LanguageFilter([(r["lang"], t) for r in bounded(samples, ["lang"], MAX_SAMPLES) for t in r["texts"]])
 
 
 def judged(df: DataFrame, ids: list[str], text_col: str, languages: LanguageFilter, markup: bool = False) -> DataFrame:
@@ -248,11 +278,12 @@ def judged(df: DataFrame, ids: list[str], text_col: str, languages: LanguageFilt
     confidence 0. Whole texts are read whatever their length.
     """
     schema = T.StructType([*(df.schema[c] for c in ids), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.FloatType()))])
-    shared = df.sparkSession.sparkContext.broadcast(languages)
-    prepare = live_prose if markup else canonical
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast((languages, None if markup else forms(spark)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, looks = shared.value
+        prepare = live_prose if markup else looks.canonical
         names = pa.array(own.langs)
         width = len(own.langs)
         for batch in batches:
@@ -271,14 +302,18 @@ def judged(df: DataFrame, ids: list[str], text_col: str, languages: LanguageFilt
 def cue_languages(cues: DataFrame, languages: LanguageFilter) -> tuple[DataFrame, DataFrame]:
     """(cues with a language, caption documents).
 
-    The first is (caption_id, cue_idx, lang, confidence, evidence), exact repeats of a cue once; the
+    The first is (caption_id, cue_idx, lang, confidence, evidence), one row for each cue: if rows of
+    one cue differ in text, the first by language, confidence and evidence; the
     second (caption_id, lang, confidence): the language of most of its cues (ties: more evidence,
     then first by code), confidence being the share of cues that have it. Both leave out what has
     no words. Votes are counted per language before the shuffle, so that a document's cues never
     gather in one task. The judged cues, a few bytes each, are kept in the shared folder.
     """
-    one = judged(cues.filter("caption_id IS NOT NULL AND cue_idx IS NOT NULL AND text IS NOT NULL AND text != ''"), ["caption_id", "cue_idx"], "text", languages)
-    one = materialize(one.filter("lang IS NOT NULL")).dropDuplicates(["caption_id", "cue_idx"])
+    some = cues.filter("caption_id IS NOT NULL AND cue_idx IS NOT NULL AND text IS NOT NULL AND text != ''")
+    one = judged(some, ["caption_id", "cue_idx"], "text", languages).filter("lang IS NOT NULL")
+    wide = int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.row_number().over(W.Window.partitionBy("caption_id", "cue_idx").orderBy("lang", "confidence", "evidence"))
+    one = materialize(one.repartition(wide, "caption_id", "cue_idx").withColumn("n", first).filter("n = 1").drop("n"))
     votes = one.groupBy("caption_id", "lang").agg(F.count("*").alias("n"), F.sum("confidence").alias("sure"))
     docs = votes.groupBy("caption_id").agg(F.min(F.struct(F.negative("n").alias("n"), F.negative(F.round("sure", 6)).alias("sure"), F.col("lang").alias("lang"))).alias("best"), F.sum("n").alias("cues"))
     return one, docs.select("caption_id", "best.lang", (F.negative("best.n") / F.col("cues")).alias("confidence"))

@@ -4,8 +4,7 @@ Items are dealt by a hash into blocks of a bounded number, and each block is pac
 parallel; a block's packing wastes at most what its last containers leave open. Within a block a
 best-fit packing is improved by moves between underfull containers, each of which makes the sum of
 squared fills larger: moving an item, exchanging one for one, one for two or two for one, until none
-is left. Squared
-fill grows by filling some containers at the cost of others, until the others are empty.
+is left. Squared fill grows by filling some containers at the cost of others, until the others are empty.
 """
 
 from __future__ import annotations
@@ -179,19 +178,42 @@ def pack_block(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+#: Targets that a plan may hold; packing for more is an error.
+MOST_TARGETS = 1_000
+
+
 def pack(items: DataFrame, targets: DataFrame, id_col: str, blocks: int) -> DataFrame:
     """(target_id, capacity, container, id, piece, pieces, size): every item of every target.
 
     ``items`` has the id, ``size`` and ``tokenizer`` (what the size is counted in); ``targets`` has
-    target_id, tokenizer and capacity, a few rows. An item larger than the capacity is split into
-    full pieces, which fill containers of their own, and a rest that is packed like an item; no
-    other item is split. Items of size 0 take no room. Null sizes count as 0, targets without a
-    positive capacity or of another tokenizer give nothing, repeated ids are packed as often as
-    they occur (dealt to blocks by row, so that they do not gather). ``container`` is unique within
-    a target.
+    target_id, tokenizer and capacity, at most MOST_TARGETS rows. An item larger than the capacity is
+    split into full pieces, which fill containers of their own, and a rest that is packed like an
+    item; no other item is split. Items of size 0 take no room. Null sizes count as 0, targets
+    without a positive capacity or of another tokenizer give nothing. Which block an item is in
+    follows from its id and size alone, so a packing does not depend on how the input is stored;
+    repeated rows, which would gather in one block, are dealt to the blocks that follow by their
+    number. ``container`` is unique within a target.
+
+    Each (target, block) is a task of its own.
     """
-    sized = items.select(F.col(id_col).alias("id"), "tokenizer", F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("long").alias("size"), F.pmod(F.xxhash64(id_col, F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"))
-    rows = sized.join(F.broadcast(targets.filter("capacity > 0").select("target_id", "tokenizer", F.col("capacity").cast("long").alias("capacity"))), "tokenizer").drop("tokenizer")
+    wanted = targets.filter("capacity > 0").select("target_id", "tokenizer", F.col("capacity").cast("long").alias("capacity"))
+    few = wanted.limit(MOST_TARGETS + 1).collect()
+    if len(few) > MOST_TARGETS:
+        raise ValueError(f"at most {MOST_TARGETS} targets can be packed for at once")
+    few = sorted(map(tuple, few), key=str)
+    kinds = [wanted.schema[c].dataType.simpleString() for c in ("target_id", "tokenizer", "capacity")]
+    each = F.array(*[F.struct(F.lit(i).alias("at"), *[F.lit(v).cast(k).alias(c) for v, k, c in zip(r, kinds, wanted.columns, strict=True)]) for i, r in enumerate(few)])
+    each = each if few else each.cast(f"array<struct<at: int, target_id: {kinds[0]}, tokenizer: {kinds[1]}, capacity: bigint>>")
+
+    size = F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("long")
+    sized = items.select(F.col(id_col).alias("id"), "tokenizer", size.alias("size"))
+    # equal rows are counted first, so that many copies of one row do not meet before they are parted
+    sized = sized.groupBy("id", "tokenizer", "size").agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("id", "size") + F.col("copy"), F.lit(blocks)).cast("int"))
+    rows = sized.select("id", "size", "block", F.explode(F.filter(each, lambda t: t["tokenizer"] == F.col("tokenizer"))).alias("t")).select("t.*", "id", "size", "block")
+    rows = rows.select("target_id", "capacity", "id", "size", "block", (F.col("at") * blocks + F.col("block")).cast("int").alias("group"))
+    # a partition for each block: adaptive execution would put all of these few bytes into one task
+    rows = rows.repartitionById(max(1, len(few) * blocks), "group")
     id_type = items.schema[id_col].dataType
     schema = T.StructType(
         [
@@ -227,4 +249,4 @@ def pack(items: DataFrame, targets: DataFrame, id_col: str, blocks: int) -> Data
             schema=pa.schema(list(zip(schema.fieldNames(), [group["target_id"].type, pa.int64(), pa.string(), group["id"].type, pa.int64(), pa.int64(), pa.int64()], strict=True))),
         )
 
-    return rows.groupBy("target_id", "block").applyInArrow(one_block, schema)
+    return rows.groupBy("group").applyInArrow(one_block, schema)
