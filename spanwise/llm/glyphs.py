@@ -18,7 +18,7 @@ import re
 import sys
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,7 +71,7 @@ class Forms:
                 self.width[cp] = unicodedata.normalize("NFKC", chr(cp))
         blanks = [c for c in map(chr, range(0x3001)) if unicodedata.category(c) in ("Zs", "Zl", "Zp")] + list("\t\n\r\v\f\x85")
         self.width |= {ord(c): " " for c in blanks if c != " "} | {ord(c): "-" for c in HYPHENS} | {0x2026: "...", 0x2024: ".", 0x2025: ".."}
-        self.odd = re.compile("[" + "".join(map(re.escape, map(chr, self.width))) + f"{_JOINER}{_SELECTORS}{_TAGS}]")
+        self.odd = _class_of([*map(chr, self.width), *_JOINER, *map(chr, range(0xFE00, 0xFE10))])
         self._letters(skeletons, recommended)
         self.known: dict[str, frozenset[str] | None] = {}
 
@@ -79,7 +79,8 @@ class Forms:
         groups: dict[tuple[str, str], list[str]] = {}
         for ch in sorted(skeletons):
             # letters with accents are told apart by these, styled ones by their style
-            if script_of(ch) and not unicodedata.decomposition(ch):
+            made_of = unicodedata.decomposition(ch)
+            if script_of(ch) and (not made_of or made_of.startswith("<compat>")):
                 groups.setdefault((skeletons[ch], _case(ch)), []).append(ch)
         latin: dict[str, list[str]] = {}
         for (look, _), own in groups.items():
@@ -113,8 +114,7 @@ class Forms:
         self.spell.pop("LATIN", None)
         self.readable = {ch: frozenset(s) for ch, s in readable.items()}
         # only texts with a letter of another script, or one that stands for another, can be spelled in two ways
-        spelled = "".join(sorted({ch for ch in skeletons if script_of(ch) in self.spell} | set(map(chr, self.proto))))
-        self.ambiguous = re.compile("[" + "".join(_ranges(spelled)) + "]")
+        self.ambiguous = _class_of({ch for ch in skeletons if script_of(ch) in self.spell} | set(map(chr, self.proto)))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
@@ -163,15 +163,25 @@ class Forms:
             return None
         if text.isascii():
             return text.strip() if text.isprintable() else text.translate(self.width).strip()
-        if self.odd.search(text):
+        beyond = _BEYOND.search(text)
+        if beyond or self.odd.search(text):
             text = _TAGGED.sub(lambda m: m[1] or "", text.translate(self.width))
             text = _JOINERS.sub("", _VARIATION.sub("", _EMOJI_JOIN.sub("", text)))
-        if self.ambiguous.search(text):
+        if beyond or self.ambiguous.search(text):
             text = self.resolve(unicodedata.normalize("NFD", text))
         # the same letters whichever way they were composed
         return unicodedata.normalize("NFC", text).strip()
 
 
+#: Characters beyond the first plane. The pattern engine looks others up in a table, but only where a class
+#: has none of these, so they are looked for on their own and texts with any are always worked out.
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _class_of(letters: Iterable[str]) -> re.Pattern:
+    return re.compile("[" + "".join(_ranges("".join(sorted(c for c in letters if c < "\U00010000")))) + "]")
+
+
 def _ranges(letters: str) -> Iterator[str]:
     """Sorted letters as the ranges of a character class."""
     at = 0
