@@ -39,6 +39,9 @@ K = 3
 #: Samples per label the filters are fitted on, about: a sample by hash where a label has more.
 MAX_SAMPLES = 5_000
 CACHE_WORDS = 300_000
+#: A word of at most so many letters has too few n-grams to tell languages apart; it votes only where
+#: the samples hold it as a word.
+SHORT_WORD = 2
 #: A text whose words have less evidence than this has no language.
 MIN_EVIDENCE = 0.2
 
@@ -166,13 +169,15 @@ class LanguageFilter:
         A word votes by its weighted corrected popcounts; SHARPNESS makes clear words clearer, so
         that no single word outvotes the others.
         """
-        total = WORD_WEIGHT * self._popcounts(words, 0)
+        known = self._popcounts(words, 0)
+        total = WORD_WEIGHT * known
         for n, weight in WEIGHTS.items():
             total += weight * self._popcounts(words, n)
         out = np.zeros((len(words), len(self.langs)))
         for p, lang in enumerate(self.lang_of):
             out[:, lang] = np.maximum(out[:, lang], total[:, p])
         out = out**SHARPNESS
+        out[np.array([len(w) <= SHORT_WORD for w in words], bool) & (known.max(axis=1, initial=0) <= 0)] = 0
         return out / np.maximum(out.sum(axis=1, keepdims=True), BACKGROUND)
 
     def codes(self, bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
