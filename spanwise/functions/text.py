@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from spanwise.functions.lexicon import LOANWORDS, NO_ENGLISH
 
 DEVA = "ऀ-ॿ"
 ARAB = "؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿"
@@ -100,15 +103,31 @@ def letter_overlap(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.split(a, ""), lambda c: F.contains(b, c))) / F.greatest(F.lit(1), F.length(a))
 
 
-#: A few English words by frequency; pass a longer list where recall matters.
-DEFAULT_ENGLISH = tuple("percent parents people activity relevant relevance nation national hotel camera engine market kitchen signal garden doctor hospital government company business computer internet television university education interest community different important experience information technology performance international relationship conversation opportunity".split())
+#: Words in an English list at most, and their length.
+ENGLISH_WORDS, LEAST_LETTERS, MOST_LETTERS = 3_000, 4, 16
+
+
+def english_table(words: DataFrame, most: int = ENGLISH_WORDS) -> DataFrame:
+    """(english, first, bucket, rank): the ``most`` commonest of ``words`` (word, n), ties by spelling.
+
+    Words are taken in lower case; those of other letters than a to z, of less than 4 or more than 16
+    letters, or that are words of another language too (``NO_ENGLISH``) are left out. Ranks count
+    from 0. The result is bounded by ``most``; each task ranks no more than that before they meet.
+    """
+    w = words.select(F.lower("word").alias("english"), "n").filter(F.col("english").rlike(f"^[a-z]{{{LEAST_LETTERS},{MOST_LETTERS}}}$") & ~F.col("english").isin(*NO_ENGLISH))
+    top = w.groupBy("english").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "english").limit(most)
+    ranked = top.withColumn("rank", (F.row_number().over(W.Window.orderBy(F.desc("n"), "english")) - 1).cast("int"))
+    return ranked.select("english", F.substring("english", 1, 1).alias("first"), length_bucket(F.length("english")).alias("bucket"), "rank")
+
+
+def word_counts(texts: DataFrame, column: str = "text") -> DataFrame:
+    """(word, n) of the runs of ASCII letters in texts, in lower case."""
+    return texts.select(F.explode(F.split(F.lower(column), "[^a-z]+")).alias("word")).filter("word != ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def english_table(spark, words: tuple[str, ...] = DEFAULT_ENGLISH) -> DataFrame:  # noqa: ANN001
-    """(english, first, bucket, rank) of lower-case words of 4 to 16 letters, repeats dropped."""
-    kept = [w for w in dict.fromkeys(w.lower() for w in words) if w.isascii() and w.isalpha() and 4 <= len(w) <= 16]
-    df = spark.createDataFrame([(w, i) for i, w in enumerate(kept)], "english string, rank int")
-    return df.select("english", F.substring("english", 1, 1).alias("first"), length_bucket(F.length("english")).alias("bucket"), "rank")
+def loanword_table(spark: SparkSession, pairs: tuple[tuple[str, str], ...] = LOANWORDS) -> DataFrame:
+    """(deva, eng) of pairs; a larger table is read instead."""
+    return spark.createDataFrame(list(pairs), "deva string, eng string")
 
 
 def recover_english(words: DataFrame, english: DataFrame) -> DataFrame:
@@ -133,8 +152,8 @@ def recover_english(words: DataFrame, english: DataFrame) -> DataFrame:
 def romanise(texts: DataFrame, english: DataFrame, loanwords: DataFrame | None = None) -> DataFrame:
     """(id, latin) of ``texts`` (id, text, lang), with words resolved.
 
-    A Devanagari run is looked up whole among ``loanwords`` (deva, eng; of repeated keys any one,
-    give distinct ones), else its sound is matched with English, else the sound stands. Runs are
+    A Devanagari run is looked up whole among ``loanwords`` (deva, eng; of repeated keys the first by
+    spelling), else its sound is matched with English, else the sound stands. Runs are
     resolved once per distinct run and joined back by run, so hot runs cost one row each. Null texts
     stay null.
     """
@@ -144,7 +163,7 @@ def romanise(texts: DataFrame, english: DataFrame, loanwords: DataFrame | None =
     runs = parts.filter(F.col("run").rlike(f"^[{DEVA}]")).select("run").distinct().withColumn("word", devanagari_to_latin(F.col("run")))
     known = runs.join(recover_english(runs, english), "word", "left")
     if loanwords is not None:
-        known = known.join(loanwords.select(F.col("deva").alias("run"), "eng").dropDuplicates(["run"]), "run", "left").withColumn("english", F.coalesce("eng", "english"))
+        known = known.join(loanwords.groupBy(F.col("deva").alias("run")).agg(F.min("eng").alias("eng")), "run", "left").withColumn("english", F.coalesce("eng", "english"))
     resolved = known.select("run", F.coalesce("english", "word").alias("latin"))
     back = parts.join(resolved, "run", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("latin", "run").alias("t")))).alias("p"))
     deva = back.select("id", F.array_join(F.transform("p", lambda x: x["t"]), "").alias("latin"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.config import PlanConfig
+from spanwise.functions.scalars import fixed, hms, pad, zero_pad_to
 from spanwise.operators.greedy import greedy_top_k
 from spanwise.operators.profile import REGION
 
@@ -92,7 +93,7 @@ def sections(clips: DataFrame, durations: DataFrame, pad: float = 10.0) -> DataF
     rows = clips.join(durations.select("item_id", "duration"), "item_id")
     most = F.max("clip_index").over(_by_item())
     end = F.when(F.col("duration") > 0, F.least(F.col("end_sec") + pad, F.col("duration"))).otherwise(F.col("end_sec") + pad)
-    stem = F.lpad(F.col("clip_index").cast("string"), F.greatest(F.length(most.cast("string")), F.length(F.col("clip_index").cast("string"))), F.lit("0"))
+    stem = zero_pad_to(F.col("clip_index"), F.length(most.cast("string")))
     return rows.select("item_id", "clip_index", F.greatest(F.col("start_sec") - pad, F.lit(0.0)).alias("src_start"), end.alias("src_end"), stem.alias("stem"))
 
 
@@ -114,6 +115,35 @@ def translate(clips: DataFrame, sections_: DataFrame) -> DataFrame:
     return moved.select(*key, (F.col("start_sec") - F.col("origin")).alias("start_sec"), (F.col("end_sec") - F.col("origin")).alias("end_sec"))
 
 
-def plausible(size: Column, seconds: Column) -> Column:
-    """Whether a file of ``size`` bytes can hold ``seconds`` of recording."""
-    return (size >= 65_536) & ((seconds <= 0) | (size / seconds >= 50_000))
+#: Bytes that a file of each kind has at least.
+LEAST_BYTES = {"download": 65_536, "input": 65_536, "cut": 32_768, "card": 4_096}
+
+
+def plausible(size: Column, seconds: Column, kind: str = "download") -> Column:
+    """Whether a file of ``size`` bytes can be what it should; a download also must have 50,000 bytes for
+    each of the ``seconds`` expected of it, if any. Null sizes (no such file) are not plausible."""
+    enough = size >= LEAST_BYTES[kind]
+    if kind == "download":
+        enough = enough & ((F.coalesce(seconds, F.lit(0.0)) <= 0) | (size / seconds >= 50_000))
+    return F.coalesce(enough, F.lit(False))
+
+
+def plan_lines(clips: DataFrame) -> DataFrame:
+    """(item_id, clip_index, line): clips as the lines of a table of fixed columns."""
+    time = lambda c: pad(hms(F.col(c)), 10)
+    line = F.concat_ws("  ", pad(F.col("clip_index").cast("string"), 3), time("start_sec"), time("end_sec"), pad(fixed(F.col("end_sec") - F.col("start_sec"), 1), 6), pad(fixed(F.col("peak_score"), 3), 6), pad(F.col("peak_bin").cast("string"), 5), "label")
+    return clips.select("item_id", "clip_index", line.alias("line"))
+
+
+def candidate_lines(candidates: DataFrame) -> DataFrame:
+    """(item_id, rank, line): caption candidates as the lines of a table; hooks are cut at 72 bytes."""
+    yes = lambda c: pad(F.when(F.col(c), "yes").otherwise("-"), 4)
+    hook = F.make_valid_utf8(F.substring(F.encode(F.coalesce("hook_text", F.lit("")), "UTF-8"), 1, 72).cast("string"))
+    line = F.concat_ws("  ", pad(F.col("rank").cast("string"), 3), pad(hms(F.col("start_sec")), 10), pad(hms(F.col("end_sec")), 10), pad(fixed(F.col("score"), 1), 7), yes("four_beat"), yes("cold_open_match"), hook)
+    return candidates.select("item_id", "rank", line.alias("line"))
+
+
+def run_results(clips: DataFrame, out_dir: str | None = None) -> DataFrame:
+    """(item_id, json): how many clips each item has, with where they are or that none were made."""
+    tail = F.lit(True).alias("dryRun") if out_dir is None else F.lit(out_dir).alias("out")
+    return clips.groupBy("item_id").agg(F.count("*").alias("clips")).select("item_id", F.to_json(F.struct("clips", tail)).alias("json"))

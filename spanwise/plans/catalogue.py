@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from spanwise.plans import data_problems, profiles, texts
+from spanwise.plans import data_problems, formats, profiles, texts
 
 FLAGSHIP = "clips_per_user"
 
 
 def queries() -> dict:
-    return {**data_problems.QUERIES, **profiles.QUERIES, **texts.QUERIES}
+    return {**data_problems.QUERIES, **profiles.QUERIES, **formats.QUERIES, **texts.QUERIES}
 
 
 def oracles() -> dict:
-    return {**data_problems.ORACLES, **profiles.ORACLES, **texts.ORACLES}
+    return {**data_problems.ORACLES, **profiles.ORACLES, **formats.ORACLES, **texts.ORACLES}

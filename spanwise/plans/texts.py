@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanwise.config import PlanConfig
 from spanwise.functions import text as txt
-from spanwise.functions.lexicon import DEFAULT_MARKERS, MAGNITUDES
+from spanwise.functions.lexicon import DEFAULT_MARKERS, LOANWORDS, MAGNITUDES, NO_ENGLISH
 from spanwise.operators import captions, fuse, planning, profile, subtitles
 from spanwise.plans import profiles
 from spanwise.plans.adapters import caption_cues, caption_heat, cue_durations, document_cues
@@ -48,7 +48,8 @@ def cue_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     """Caption files made of the cue table: a header and, per cue, a timing line and its text."""
-    c = caption_cues(spark, d).filter("start_sec >= 0 AND end_sec > start_sec AND text IS NOT NULL").dropDuplicates(["item_id", "cue_idx"])
+    c = caption_cues(spark, d).filter("start_sec >= 0 AND end_sec > start_sec AND text IS NOT NULL")
+    c = c.groupBy("item_id", "cue_idx").agg(F.min(F.struct("start_sec", "end_sec", "text")).alias("c")).select("item_id", "cue_idx", "c.*")
     at = lambda s: F.format_string("%02d:%02d.%03d", F.floor(F.floor(s) / 60).cast("long"), F.floor(s).cast("long") % 60, (F.round(s * 1000).cast("long") % 1000))
     block = F.concat(at(F.col("start_sec")), F.lit(" --> "), at(F.col("end_sec")), F.lit(" align:start\n"), F.col("text"), F.lit("\n"))
     per = c.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("cue_idx", block.alias("b")))).alias("bs"))
@@ -227,12 +228,62 @@ def romanise_sound(spark: SparkSession, d: str) -> DataFrame:
 
 def romanise(spark: SparkSession, d: str) -> DataFrame:
     rows = _with_lang(spark, d).select(F.struct("item_id", "cue_idx").alias("id"), "text", "lang")
-    return txt.romanise(rows, txt.english_table(spark)).select("id.item_id", "id.cue_idx", "latin")
+    return txt.romanise(rows, _english(spark, d), txt.loanword_table(spark)).select("id.item_id", "id.cue_idx", "latin")
 
 
 def fuzzy_recover(spark: SparkSession, d: str) -> DataFrame:
     words = _clean(spark, d).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
-    return txt.recover_english(words, txt.english_table(spark))
+    return txt.recover_english(words, _english(spark, d))
+
+
+def _english(spark: SparkSession, d: str) -> DataFrame:
+    """English words by frequency, of the captions and prose that are known to be English."""
+    own = lambda name: table(spark, d, name).filter("lang = 'en'").select("text")
+    return txt.english_table(txt.word_counts(own("lang_samples").unionByName(own("graded_samples"))))
+
+
+def english_words(spark: SparkSession, d: str) -> DataFrame:
+    return _english(spark, d)
+
+
+def loanwords(spark: SparkSession, d: str) -> DataFrame:
+    """Devanagari runs of the cues that are loanwords."""
+    runs = _clean(spark, d).select("item_id", "cue_idx", F.posexplode(F.regexp_extract_all("text", F.lit(f"[{txt.DEVA}]+"), F.lit(0))).alias("pos", "run"))
+    return runs.join(txt.loanword_table(spark).withColumnRenamed("deva", "run"), "run").select("item_id", "cue_idx", "pos", "run", "eng")
+
+
+def script_route(spark: SparkSession, d: str) -> DataFrame:
+    return _with_lang(spark, d).select("item_id", "cue_idx", txt.route(F.col("text"), F.col("lang")).alias("script"))
+
+
+def fuzzy_parts(spark: SparkSession, d: str) -> DataFrame:
+    """What recovery looks at in each word of the cues, against the commonest English word of its first letter."""
+    words = _clean(spark, d).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter("word != ''").distinct()
+    head = _english(spark, d).groupBy("first").agg(F.min_by("english", "rank").alias("english"))
+    both = words.join(head, F.substring("word", 1, 1) == F.col("first"))
+    n = F.length("word")
+    return both.select("word", "english", txt.length_bucket(n).alias("bucket"), txt.looks_native(F.col("word")).alias("native"), F.round(txt.letter_overlap(F.col("word"), F.col("english")), 6).alias("overlap"), F.levenshtein("word", "english", 3).alias("distance"))
+
+
+def short_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _clean(spark, d).select("item_id", "cue_idx", fuse.utf8_truncate(F.col("text"), 20).alias("short"))
+
+
+def subtitle_trim(spark: SparkSession, d: str) -> DataFrame:
+    scored = _scored(spark, d)
+    cut = subtitles.trim_to_clips(scored.cues.marked, materialize(_planned(spark, d, scored)))
+    return cut.select("item_id", "clip_index", "cue_idx", *_r("start_sec", "end_sec"), "text")
+
+
+def candidate_lines(spark: SparkSession, d: str) -> DataFrame:
+    return planning.candidate_lines(_candidates(_scored(spark, d)))
+
+
+def captions_json_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What captions_json holds, read back."""
+    doc = F.from_json("json", "struct<lang: string, mode: string, weight: double, candidates: array<struct<hook: string, score: double>>>")
+    rows = captions_json(spark, d).select("item_id", doc.alias("j"))
+    return rows.select("item_id", "j.lang", "j.mode", "j.weight", F.size("j.candidates").alias("n"), F.get("j.candidates", 0)["hook"].alias("hook"))
 
 
 QUERIES = {
@@ -240,7 +291,7 @@ QUERIES = {
     for f in (
         cues_clean, caption_usable, cue_lines, cue_dedupe, cue_normalised, marker_hits, numeric_payloads, shingles, position_prior, shingle_df, cold_open_echo, cold_open_documents, forward_windows, four_beat, promo_mask,
         caption_envelope, caption_nms, captions_json, profile_fusion, profile_mode, profile_mode_heatmap, clip_adoption, clip_hooks, clip_snap, subtitle_split, subtitle_chain, subtitle_files,
-        caption_choice, script_detect, romanise_sound, romanise, fuzzy_recover,
+        caption_choice, script_detect, script_route, romanise_sound, romanise, loanwords, english_words, fuzzy_parts, fuzzy_recover, short_texts, subtitle_trim, candidate_lines, captions_json_fields,
     )
 }
 
@@ -249,8 +300,8 @@ def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_CUES = """cu AS (SELECT item_id, cue_idx, any_value(start_ms) AS start_ms, any_value(end_ms) AS end_ms, any_value(text) AS text FROM (
-  SELECT CAST(caption_id AS VARCHAR) AS item_id, cue_idx, CAST(round(start_sec * 1000) AS BIGINT) AS start_ms, CAST(round(end_sec * 1000) AS BIGINT) AS end_ms, coalesce(text, '') AS text FROM caption_cues) WHERE start_ms >= 0 AND end_ms > start_ms AND item_id IS NOT NULL AND cue_idx IS NOT NULL GROUP BY 1, 2),
+_CUES = """cu AS (SELECT item_id, cue_idx, min(s).start_ms AS start_ms, min(s).end_ms AS end_ms, min(s).text AS text FROM (SELECT *, {'start_ms': start_ms, 'end_ms': end_ms, 'text': text} AS s FROM (
+  SELECT CAST(caption_id AS VARCHAR) AS item_id, cue_idx, CAST(round(start_sec * 1000) AS BIGINT) AS start_ms, CAST(round(end_sec * 1000) AS BIGINT) AS end_ms, coalesce(text, '') AS text FROM caption_cues) WHERE start_ms >= 0 AND end_ms > start_ms AND item_id IS NOT NULL AND cue_idx IS NOT NULL) GROUP BY 1, 2),
 it AS (SELECT item_id, max(end_ms) AS duration_ms FROM cu GROUP BY 1 HAVING count(*) >= 10)"""
 _LEX = "lx AS (SELECT * FROM (VALUES " + ", ".join(f"({_quote(p)}, '{r}', {w}, '{s}')" for p, r, w, s in DEFAULT_MARKERS) + ") v(p, r, w, s))"
 _UNITS = "[" + ", ".join(map(_quote, MAGNITUDES)) + "]"
@@ -341,3 +392,49 @@ a AS (SELECT DISTINCT video_id AS item_id, lang, CAST(caption_id AS VARCHAR) AS
 r AS (SELECT a.*, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(list_position(langs, lang), 1000000), path, lang NULLS FIRST) AS n FROM a LEFT JOIN o USING (item_id)) SELECT item_id, lang, path FROM r WHERE n = 1""",
     "script_detect": f"WITH {_CUES}, n AS (SELECT item_id, cue_idx, len(regexp_extract_all(text, '[ऀ-ॿ]')) AS d, len(regexp_extract_all(text, '[؀-ۿݐ-ݿﭐ-﷿ﹰ-\\x{{FEFF}}]')) AS a FROM cu) SELECT item_id, cue_idx, CASE WHEN d = 0 AND a = 0 THEN 0 WHEN d >= a THEN 1 ELSE 2 END AS script FROM n",
 }
+
+# the longest start of a text that fits, without a multi-byte character that reaches the cut
+_CUT = "left({0}, list_max(list_filter(range({1} + 1), lambda k: strlen(left({0}, k)) <= {1} AND NOT (strlen(left({0}, k)) = {1} AND k > 0 AND strlen(substr({0}, k, 1)) > 1)))::BIGINT)"
+_SHORT = lambda text, most: f"CASE WHEN strlen({text}) <= {most} THEN {text} ELSE {_CUT.format(text, most)} END"
+_HMS = profiles._HMS
+_ENGLISH = f"""ew AS (SELECT english, CAST(row_number() OVER (ORDER BY n DESC, english) - 1 AS INTEGER) AS rank FROM (
+  SELECT w AS english, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM (SELECT text FROM lang_samples WHERE lang = 'en' UNION ALL SELECT text FROM graded_samples WHERE lang = 'en'))
+  WHERE regexp_full_match(w, '[a-z]{{4,16}}') AND w NOT IN ({', '.join(map(_quote, NO_ENGLISH))}) GROUP BY 1)),
+en0 AS (SELECT english, left(english, 1) AS first, CAST(CASE WHEN length(english) < 4 THEN 0 ELSE least(4, (length(english) - 4) // 2) END AS INTEGER) AS bucket, rank FROM ew WHERE rank < 3000)"""
+_WORDS = "wd AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM cu) WHERE w <> '')"
+_NATIVE = f"(regexp_matches(word, '[aeiou]$') AND NOT regexp_matches(word, '{'|'.join(txt.CLUSTERS)}'))"
+_OVERLAP = "len(list_filter(string_split(word, ''), lambda c: contains(english, c)))::DOUBLE / length(word)"
+_BUCKET = "CASE WHEN length(word) < 4 THEN 0 ELSE least(4, (length(word) - 4) // 2) END"
+_VTT = r"""v0 AS (SELECT CAST(caption_id AS VARCHAR) AS item_id, cue_idx, min({'s': start_sec, 'e': end_sec, 't': text}) AS c FROM caption_cues WHERE start_sec >= 0 AND end_sec > start_sec AND text IS NOT NULL AND caption_id IS NOT NULL AND cue_idx IS NOT NULL GROUP BY 1, 2),
+v1 AS (SELECT item_id, cue_idx, floor(c.s) + CAST(round(c.s * 1000) AS BIGINT) % 1000 / 1000.0::DOUBLE AS start_sec, floor(c.e) + CAST(round(c.e * 1000) AS BIGINT) % 1000 / 1000.0::DOUBLE AS end_sec, string_split(replace(c.t, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM v0),
+v2 AS (SELECT item_id, cue_idx, start_sec, end_sec, unnest(ls) AS raw, generate_subscripts(ls, 1) AS k FROM v1),
+v3 AS (SELECT *, trim(regexp_replace(replace(regexp_replace(raw, '<[^>]*(>|$)', '', 'g'), '>', ''), '[ \t\r]+', ' ', 'g'), ' ') AS text FROM v2),
+v4 AS (SELECT *, lag(text) OVER (PARTITION BY item_id ORDER BY cue_idx, k) AS before FROM v3 WHERE text <> '' AND NOT regexp_matches(text, '^(WEBVTT|Kind:|Language:|NOTE|STYLE|Style:|Region:)'))"""
+
+ORACLES |= {
+    "cue_dedupe": f"WITH {_VTT} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY cue_idx, k) - 1 AS INTEGER) AS cue_idx, round(start_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec, text FROM v4 WHERE text IS DISTINCT FROM before",
+    "clip_hooks": f"WITH RECURSIVE {_ADOPTED}, hk AS (SELECT cl.item_id, cl.clip_index, arg_min(cd.hook_idx, cd.rank) AS hook_idx FROM cl JOIN cd ON cd.item_id = cl.item_id AND cd.start_sec < cl.end_sec AND cd.end_sec > cl.start_sec GROUP BY 1, 2), tx AS (SELECT cl.item_id, cl.clip_index, coalesce(cu.text, '') AS t FROM cl LEFT JOIN hk USING (item_id, clip_index) LEFT JOIN cu ON cu.item_id = hk.item_id AND cu.cue_idx = hk.hook_idx) SELECT item_id, clip_index, {_SHORT('t', 80)} AS label FROM tx",
+    "short_texts": f"WITH {_CUES} SELECT item_id, cue_idx, {_SHORT('text', 20)} AS short FROM cu",
+    "english_words": f"WITH {_ENGLISH} SELECT english, first, bucket, rank FROM en0",
+    "fuzzy_parts": f"WITH {_CUES}, {_ENGLISH}, {_WORDS}, hd AS (SELECT first, arg_min(english, rank) AS english FROM en0 GROUP BY 1) SELECT word, english, CAST({_BUCKET} AS INTEGER) AS bucket, {_NATIVE} AS native, round({_OVERLAP}, 6) AS overlap, CAST(CASE WHEN levenshtein(word, english) <= 3 THEN levenshtein(word, english) ELSE -1 END AS INTEGER) AS distance FROM wd JOIN hd ON left(word, 1) = first",
+    "fuzzy_recover": f"""WITH {_CUES}, {_ENGLISH}, {_WORDS}, ok AS (SELECT word, {_BUCKET} AS b FROM wd WHERE length(word) >= 5 AND NOT {_NATIVE} AND word NOT IN ({', '.join(map(_quote, sorted(txt.NATIVE)))})),
+p AS (SELECT word, english, first, bucket, rank, levenshtein(word, english) AS d FROM ok JOIN en0 ON abs(bucket - b) <= 1 AND (left(word, 1) = first OR (contains('aeiou', left(word, 1)) AND contains('aeiou', first))))
+SELECT word, arg_min(english, d * 1e9 + ascii(first) * 1e6 + bucket * 1e5 + rank) AS english FROM p WHERE d <= CASE WHEN length(word) >= 8 THEN 3 ELSE 2 END AND {_OVERLAP} >= 0.65 GROUP BY 1""",
+    "loanwords": f"WITH {_CUES}, lw AS (SELECT * FROM (VALUES {', '.join(f'({_quote(a)}, {_quote(b)})' for a, b in LOANWORDS)}) v(run, eng)), rn AS (SELECT item_id, cue_idx, regexp_extract_all(text, '[ऀ-ॿ]+') AS rs FROM cu), ex AS (SELECT item_id, cue_idx, unnest(rs) AS run, CAST(generate_subscripts(rs, 1) - 1 AS INTEGER) AS pos FROM rn) SELECT item_id, cue_idx, pos, run, eng FROM ex JOIN lw USING (run)",
+    "script_route": f"WITH {_CUES}, lg AS (SELECT CAST(caption_id AS VARCHAR) AS item_id, coalesce(min(lang), '') AS lang FROM caption_docs GROUP BY 1), n AS (SELECT cu.*, coalesce(lang, '') AS lang, len(regexp_extract_all(text, '[ऀ-ॿ]')) AS d, len(regexp_extract_all(text, '[؀-ۿݐ-ݿﭐ-﷿ﹰ-\\x{{FEFF}}]')) AS a FROM cu LEFT JOIN lg USING (item_id)) SELECT item_id, cue_idx, CAST(CASE WHEN starts_with(lang, 'en') THEN 0 WHEN regexp_matches(lang, '^(hi|mr|ne)') THEN 1 WHEN regexp_matches(lang, '^(ur|ar|fa)') THEN 2 WHEN d = 0 AND a = 0 THEN 0 WHEN d >= a THEN 1 ELSE 2 END AS INTEGER) AS script FROM n",
+    "subtitle_trim": f"WITH RECURSIVE {_ADOPTED}, q AS (SELECT item_id, cue_idx, text, start_ms / 1000.0::DOUBLE AS s, end_ms / 1000.0::DOUBLE AS e FROM cu), x AS (SELECT cl.item_id, clip_index, cue_idx, greatest(s, start_sec) - start_sec AS a, least(e, end_sec) - start_sec AS b, text FROM cl JOIN q ON q.item_id = cl.item_id AND s < end_sec AND e > start_sec) SELECT item_id, clip_index, cue_idx, round(a, 6) AS start_sec, round(b, 6) AS end_sec, text FROM x WHERE b > a",
+    "captions_json_fields": f"WITH RECURSIVE {_NMS}, {_FUSED.removeprefix(_WINDOWS + ',')}, md AS (SELECT DISTINCT item_id, mode FROM fu WHERE mode IN ('fused', 'caption-only')), lg AS (SELECT CAST(caption_id AS VARCHAR) AS item_id, min(lang) AS lang FROM caption_docs GROUP BY 1), ct AS (SELECT cd.item_id, count(*) AS n, arg_min(cu.text, cd.rank) AS hook FROM cd LEFT JOIN cu ON cu.item_id = cd.item_id AND cu.cue_idx = cd.hook_idx GROUP BY 1) SELECT md.item_id, coalesce(lang, '') AS lang, mode, 0.4::DOUBLE AS weight, CAST(coalesce(n, 0) AS INTEGER) AS n, hook FROM md LEFT JOIN lg USING (item_id) LEFT JOIN ct USING (item_id)",
+    "profile_mode_heatmap": f"WITH {_CUES}, {_HEAT.split('fu AS (')[0].rstrip().rstrip(',')} SELECT DISTINCT du.item_id, CASE WHEN ht.item_id IS NULL THEN 'rejected' ELSE 'off' END AS mode FROM du LEFT JOIN ht USING (item_id)",
+}
+
+# at most 72 bytes; what is left of a character that was cut shows as one replacement
+_HEAD = "CASE WHEN strlen(t) <= 72 THEN t ELSE left(t, k) || CASE WHEN strlen(left(t, k)) < 72 THEN '�' ELSE '' END END"
+_DOC_CUES = """dw AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(text, '[ \\n\\r\\t]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), dc AS (SELECT item_id, w, unnest(range((len(w) + 7) // 8)) AS i FROM dw WHERE len(w) > 0),
+cu AS (SELECT item_id, CAST(i AS INTEGER) AS cue_idx, i * 4000 AS start_ms, i * 4000 + 3500 AS end_ms, array_to_string(w[i * 8 + 1:i * 8 + 8], ' ') AS text FROM dc),
+it AS (SELECT item_id, max(end_ms) AS duration_ms FROM cu GROUP BY 1 HAVING count(*) >= 10),
+mk AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ०१२३४५६७८९', 'abcdefghijklmnopqrstuvwxyz0123456789') AS norm FROM cu)"""
+
+ORACLES |= {
+    "candidate_lines": f"WITH RECURSIVE {_NMS}, x AS (SELECT cd.*, coalesce(cu.text, '') AS t FROM cd LEFT JOIN cu ON cu.item_id = cd.item_id AND cu.cue_idx = cd.hook_idx), y AS (SELECT *, list_max(list_filter(range(73), lambda i: strlen(left(t, i)) <= 72)) AS k FROM x) SELECT item_id, rank, printf('%-3d  %-10s  %-10s  %-7.1f  %-4s  %-4s  %s', rank, {_HMS.format('start_sec')}, {_HMS.format('end_sec')}, score, CASE WHEN four_beat THEN 'yes' ELSE '-' END, CASE WHEN cold THEN 'yes' ELSE '-' END, {_HEAD}) AS line FROM y",
+    "cold_open_documents": f"WITH {_DOC_CUES}, {_SHINGLES} SELECT item_id, cue_idx FROM ec",
+}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from spanwise.config import N_BINS
 from spanwise.operators.arrays import once
@@ -38,7 +40,7 @@ def parse(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     rows = once(df.select(F.col(id_col), F.try_parse_json(F.col(body_col)).alias("v")), "v")
     rows = rows.withColumn("v", F.when(F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), F.col("v")))
     part = lambda name: F.try_variant_get("v", f"$['{name}']", "variant")
-    rows = rows.select(id_col, "v", F.try_variant_get("v", "$.heatmap", "array<variant>").alias("heat"), F.try_variant_get("v", "$.chapters", "array<variant>").alias("chap"), F.json_object_keys(F.to_json("v")).alias("keys"), _kind(part("id")).alias("id_kind"))
+    rows = rows.select(id_col, "v", F.try_variant_get("v", "$.heatmap", "array<variant>").alias("heat"), F.try_variant_get("v", "$.chapters", "array<variant>").alias("chap"), part("uploader_url").isNotNull().alias("has_uploader_url"), _kind(part("id")).alias("id_kind"))
     size = F.coalesce(F.size("heat"), F.lit(0))
     size = F.when(F.col("heat").isNull(), 0).otherwise(size)
     reason = F.when(F.col("v").isNull(), "malformed").when(F.col("id_kind").isin("ABSENT", "VOID"), "no id").when((size > 0) & (size != N_BINS), "profile size")
@@ -48,7 +50,7 @@ def parse(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     first = F.get("heat", 0)
     width = F.when(size == N_BINS, field(first, "end_time") - field(first, "start_time"))
     live_status = _member("v", "live_status")
-    url = F.when(F.array_contains("keys", "uploader_url"), _member("v", "uploader_url")).otherwise(_member("v", "channel_url"))
+    url = F.when(F.col("has_uploader_url"), _member("v", "uploader_url")).otherwise(_member("v", "channel_url"))
     chapters = F.transform("chap", lambda x: F.struct(field(x, "start_time").alias("start_sec"), field(x, "end_time").alias("end_sec"), F.coalesce(F.try_variant_get(x, "$.title", "string"), F.lit("")).alias("title")))
     out = rows.select(
         id_col,
@@ -81,15 +83,34 @@ def chapter_rows(parsed: DataFrame, id_col: str) -> DataFrame:
     return rows.select("item_id", "chapter_idx", "c.start_sec", "c.end_sec", "c.title")
 
 
-#: What an error text means, first match first.
-ERROR_HINTS = (("Private video", "private"), ("Video unavailable", "unavailable"), ("Sign in", "needs sign-in"), ("HTTP Error 429", "rate limited"), ("Unsupported URL", "unsupported"))
+#: What an error text means, first match first: all texts of one of the groups occur in it.
+ERROR_HINTS = (
+    ("cookies unreadable", (("Failed to decrypt with DPAPI",), ("app-bound",))),
+    ("browser missing", (("could not find", "cookies database"),)),
+    ("bot check", (("confirm you're not a bot",),)),
+    ("sign-in", (("age",), ("Sign in to confirm",))),
+)
+#: What the origin answers to too many requests.
+RATE_LIMITS = ("HTTP Error 429", "Too Many Requests")
 
 
 def error_hint(text: Column) -> Column:
-    out = F.when(text.contains(ERROR_HINTS[0][0]), ERROR_HINTS[0][1])
-    for pattern, hint in ERROR_HINTS[1:]:
-        out = out.when(text.contains(pattern), hint)
-    return out.otherwise("")
+    """What to do about an error text, "" if nothing is known; null for null."""
+    out = None
+    for hint, groups in ERROR_HINTS:
+        test = F.lit(False)
+        for group in groups:
+            every = F.lit(True)
+            for part in group:
+                every = every & text.contains(part)
+            test = test | every
+        out = F.when(test, hint) if out is None else out.when(test, hint)
+    return F.when(text.isNotNull(), out.otherwise(""))
+
+
+def rate_limited(text: Column) -> Column:
+    """Whether an error text is that of a rate limit, after which it is worth trying again."""
+    return F.coalesce(text.contains(RATE_LIMITS[0]) | text.contains(RATE_LIMITS[1]), F.lit(False))
 
 
 def language_order(wanted: Column, preferred: Column) -> Column:
@@ -118,3 +139,37 @@ def pick_asset(assets: DataFrame, kind: str) -> DataFrame:
     fits = F.col("hint") | ((ratio >= 1.5) & (F.col("h") >= 240) if kind == "banner" else (ratio > 0.7) & (ratio < 1.3))
     ok = assets.filter("w > 0 AND h > 0").filter(fits)
     return ok.groupBy("item_id").agg(F.max_by("path", F.struct("hint", F.col("w") * F.col("h"), F.negative("ord"))).alias("path"))
+
+
+#: Thumbnails by preference.
+THUMBNAILS = (".jpg", ".png", ".webp")
+
+
+def pick_thumbnail(files: DataFrame) -> DataFrame:
+    """(item_id, path) of the preferred thumbnail among ``files`` (item_id, path); ties go to the first path."""
+    rank = F.array_position(F.array(*map(F.lit, THUMBNAILS)), F.regexp_extract("path", r"\.[A-Za-z0-9]+$", 0))
+    return files.filter("item_id IS NOT NULL").withColumn("rank", rank).filter("rank > 0").groupBy("item_id").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+
+
+def _jpeg_size(data: bytes) -> tuple[int, int]:
+    """(width, height) in a JPEG's frame header, (0, 0) if it has none."""
+    at = 2 if data[:2] == b"\xff\xd8" else len(data)
+    while at + 9 <= len(data) and data[at] == 0xFF:
+        kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        at += 2 + max(2, size)
+    return 0, 0
+
+
+def channel_assets(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_id, path, w, h, ord) of the images ``chan*.jpg`` below ``folder``, item_id being the folder they
+    are in. Files without a readable size are left out."""
+    @F.pandas_udf("struct<w: int, h: int>")
+    def size(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_jpeg_size(c) for c in content], columns=["w", "h"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "chan*.jpg").option("recursiveFileLookup", True).load(folder)
+    own = files.select("path", size("content").alias("s")).select(F.element_at(F.split("path", "/"), -2).alias("item_id"), "path", "s.w", "s.h")
+    by_path = W.Window.partitionBy("item_id").orderBy("path")
+    return own.filter("w > 0 AND h > 0").withColumn("ord", F.row_number().over(by_path))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.config import DetectConfig, PlanConfig, RunConfig
@@ -49,6 +49,15 @@ def captions_json(candidates: DataFrame, items: DataFrame, weight: float) -> Dat
     return rows.select("item_id", F.to_json(F.struct("lang", "mode", F.lit(weight).alias("weight"), found)).alias("json"))
 
 
-def write_documents(docs: DataFrame, folder: str, column: str = "json") -> None:
-    """Writes one text file set per item, partitioned by item_id."""
-    docs.select("item_id", F.col(column).alias("value")).write.partitionBy("item_id").mode("overwrite").text(folder)
+def write_documents(docs: DataFrame, folder: str, column: str = "json", mode: str = "errorifexists") -> None:
+    """Writes documents as JSON lines {item_id, document}, as many files as there are tasks.
+
+    The document's name stays a column, so that the number of files does not grow with the items.
+    ``mode`` is Spark's: what is there already is kept unless asked otherwise.
+    """
+    docs.select("item_id", F.col(column).alias("document")).write.mode(mode).json(folder)
+
+
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_id, document) of what :func:`write_documents` wrote."""
+    return spark.read.schema("item_id string, document string").json(folder)

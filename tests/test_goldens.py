@@ -140,11 +140,29 @@ def test_scripts_and_routing(spark):
     assert one(spark, "राम", lambda c: text.to_latin(c, F.lit("xx"))) == "ram"
 
 
+def english(spark):
+    words = "percent parents people activity relevant relevance nation national hotel camera".split()
+    return text.english_table(spark.createDataFrame([(w, 100 - i) for i, w in enumerate(words)], "word string, n long"))
+
+
+@pytest.mark.parametrize("deva, latin", [("यूट्यूब पर", "YouTube par"), ("वीपीएन इस्तेमाल करो", "VPN istemal karo"), ("वीडियो में", "video men"), ("स्ट्रेट", "straight"), ("टेंशन", "tension"), ("इन्वेस्टिगेशन", "investigation")])
+def test_loanwords(spark, deva, latin):
+    df = spark.createDataFrame([("1", deva, "hi")], "id string, text string, lang string")
+    assert text.romanise(df, english(spark), text.loanword_table(spark)).collect()[0]["latin"] == latin
+
+
+def test_english_table(spark):
+    rows = [("the", 50), ("Words", 9), ("words", 3), ("lekin", 99), ("camera", 12), ("abcdefghijklmnopq", 80), ("it's", 70), (None, 60), ("zebra", 1), ("apple", 1)]
+    df = spark.createDataFrame(rows, "word string, n long")
+    assert [tuple(r) for r in text.english_table(df, 3).orderBy("rank").collect()] == [("camera", "c", 1, 0), ("words", "w", 0, 1), ("apple", "a", 0, 2)]
+    assert text.english_table(df.filter("false")).collect() == []
+
+
 def test_romanise_recovers_english(spark):
     rows = [("1", "एक्टिविटी पेरेंट्स राम", "hi"), ("2", "plain", "hi"), ("3", None, "hi"), ("4", "", None), ("5", "रेलेवेंस", "hi"), ("6", "सीआईए", "hi")]
     df = spark.createDataFrame(rows, "id string, text string, lang string")
     loans = spark.createDataFrame([("सीआईए", "CIA")], "deva string, eng string")
-    got = {r["id"]: r["latin"] for r in text.romanise(df, text.english_table(spark), loans).collect()}
+    got = {r["id"]: r["latin"] for r in text.romanise(df, english(spark), loans).collect()}
     assert got["1"] == "activity parents ram" and got["2"] == "plain" and got["3"] is None and got["4"] == ""
     assert got["5"] in ("relevant", "relevance") and got["6"] == "CIA"
 
@@ -207,5 +225,15 @@ def test_scalars(spark):
     assert [one(spark, x, scalars.safe_id) for x in ("ok", "", "a..b", "a/b", None)] == [True, False, False, False, False]
     assert one(spark, "x/y.MP4", scalars.mime) == "video/mp4"
     assert one(spark, "abcé", lambda c: fuse.utf8_truncate(c, 4)) == "abc" and one(spark, "abcéd", lambda c: fuse.utf8_truncate(c, 5)) == "abc" and one(spark, "abc", lambda c: fuse.utf8_truncate(c, 3)) == "abc"
-    assert str(one(spark, "web-20240131-235959-123", scalars.job_time)) == "2024-01-31 23:59:59" and one(spark, "other", scalars.job_time) is None
+    assert str(one(spark, "web-20240131-235959-123", scalars.job_time)) == "2024-01-31 23:59:59.123000" and one(spark, "other", scalars.job_time) is None
+    late, soon = F.timestamp_seconds(F.lit(2_000)), F.timestamp_seconds(F.lit(1_000))
+    assert one(spark, "other", lambda c: F.unix_seconds(scalars.job_time(c, late, soon))) == 1_000
+    assert [one(spark, x, scalars.compact, "double") for x in (1e7, 1234567.0, 0.00001, 100.0, 12.5)] == ["1e+07", "1.23457e+06", "1e-05", "100", "12.5"]
+    assert one(spark, "a:b'c%d\\e\x01f", scalars.drawtext_escape) == "a\\:b\\'c\\%d\\\\ef"
+    assert [one(spark, x, scalars.mime) for x in ("a.webm", "b.HTML", "c")] == ["video/webm", "text/html; charset=utf-8", "application/octet-stream"]
+    assert [one(spark, x, scalars.format_name) for x in ("blur", "orig", None)] == ["916blur", "orig", "?"]
+    assert tuple(one(spark, "añb", lambda c: scalars.log_chunk(c, F.lit(1)))) == (1, 4, "ñb") and tuple(one(spark, "añb", lambda c: scalars.log_chunk(c, F.lit(9)))) == (4, 4, "")
+    args = lambda body: one(spark, body, lambda c: scalars.run_arguments(F.parse_json(c)))
+    assert args("{}") == ["--dump-heatmap"]
+    assert args('{"dump_heatmap": false, "max_clips": 4, "clip_len": 22.50, "min_gap": 0, "format": "orig", "cookies": "none", "source": "native", "detect": 3, "strict": true}') == ["-n", "4", "-l", "22.5", "--format", "orig", "--source", "native", "--strict"]
     assert one(spark, [0.0, 0.5, 1.0, 2.0, math.nan][:4], profile.sparkline, "array<double>") == " +@@"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from spanwise.operators import listing, planning, profile, subtitles
@@ -34,10 +36,26 @@ def test_language_choice(spark):
 
 
 def test_small_rules(spark):
-    texts = spark.createDataFrame([("ERROR: HTTP Error 429: Too Many Requests",), ("ok",), ("Private video. Sign in",)], "x string")
-    assert [r[0] for r in texts.select(info_json.error_hint(F.col("x"))).collect()] == ["rate limited", "", "private"]
-    files = spark.createDataFrame([(10, 1.0), (70_000, 1.0), (70_000, 10.0), (70_000, 0.0)], "size long, sec double")
-    assert [r[0] for r in files.select(planning.plausible(F.col("size"), F.col("sec"))).collect()] == [False, True, False, True]
+    cases = {"x: Failed to decrypt with DPAPI": "cookies unreadable", "app-bound age": "cookies unreadable", "could not find chrome cookies database": "browser missing", "could not find": "", "confirm you're not a bot": "bot check", "Sign in to confirm": "sign-in", "page": "sign-in", "ok": "", "": "", None: None}
+    texts = spark.createDataFrame([(k,) for k in cases], "x string")
+    assert {r["x"]: r["y"] for r in texts.select("x", info_json.error_hint(F.col("x")).alias("y")).collect()} == cases
+    limited = spark.createDataFrame([("HTTP Error 429",), ("Too Many Requests",), ("429",), (None,)], "x string")
+    assert [r[0] for r in limited.select(info_json.rate_limited(F.col("x"))).collect()] == [True, True, False, False]
+    files = spark.createDataFrame([(10, 1.0), (70_000, 1.0), (70_000, 10.0), (70_000, 0.0), (None, 1.0), (70_000, None)], "size long, sec double")
+    assert [r[0] for r in files.select(planning.plausible(F.col("size"), F.col("sec"))).collect()] == [False, True, False, True, False, True]
+    assert [[r[0] for r in files.select(planning.plausible(F.lit(n), F.lit(0.0), "card")).take(1)][0] for n in (4_095, 4_096)] == [False, True]
+    thumbs = spark.createDataFrame([("a", "t.webp"), ("a", "t.png"), ("b", "t.gif"), ("c", "z.jpg"), ("c", "a.jpg"), (None, "x.jpg")], "item_id string, path string")
+    assert {tuple(r) for r in info_json.pick_thumbnail(thumbs).collect()} == {("a", "t.png"), ("c", "a.jpg")}
+
+
+def test_channel_assets(spark, tmp_path):
+    header = lambda w, h, kind=0xC0: b"\xff\xd8\xff\xe0\x00\x04ab\xff" + bytes([kind]) + b"\x00\x0b\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + b"\x01\x01\x11\x00"
+    (tmp_path / "c1").mkdir()
+    for name, data in (("chan.1.jpg", header(900, 300)), ("chan.2.jpg", header(88, 88, 0xC2)), ("chan.3.jpg", b"no image"), ("other.jpg", header(1, 1)), ("chan.4.jpg", b"")):
+        (tmp_path / "c1" / name).write_bytes(data)
+    got = info_json.channel_assets(spark, str(tmp_path)).withColumn("hint", F.lit(False))
+    assert {(r["item_id"], r["w"], r["h"], r["ord"]) for r in got.collect()} == {("c1", 900, 300, 1), ("c1", 88, 88, 2)}
+    assert info_json.pick_asset(got, "banner").collect()[0]["path"].endswith("chan.1.jpg")
 
 
 def test_manifests_round_trip(spark, tmp_path):
@@ -57,7 +75,9 @@ def test_manifests_round_trip(spark, tmp_path):
     (tmp_path / "bad" / "manifest.json").write_text("{")
     assert {(r["title"], r["clips"]) for r in listing.manifests(spark, str(tmp_path)).collect()} == {("T", 1), ("T2", 0)}
     sinks.write_documents(sinks.heatmap_json(df), str(tmp_path / "out"))
-    assert {r["item_id"] for r in spark.read.text(str(tmp_path / "out")).collect()} == {"a", "none"}
+    assert {r["item_id"]: len(json.loads(r["document"])["bins"]) for r in sinks.read_documents(spark, str(tmp_path / "out")).collect()} == {"a": 100, "none": 100}
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_documents(sinks.heatmap_json(df), str(tmp_path / "out"))
 
 
 def test_documents_have_own_mode_and_all_params(spark):
