@@ -73,7 +73,7 @@ class Forms:
         self.width |= {ord(c): " " for c in blanks if c != " "} | {ord(c): "-" for c in HYPHENS} | {0x2026: "...", 0x2024: ".", 0x2025: ".."}
         self.odd = _class_of([*map(chr, self.width), *_JOINER, *map(chr, range(0xFE00, 0xFE10))])
         self._letters(skeletons, recommended)
-        self.known: dict[str, frozenset[str] | None] = {}
+        self.known: dict[str, tuple[tuple[str, ...], str | None]] = {}
 
     def _letters(self, skeletons: dict[str, str], recommended: frozenset[str]) -> None:
         groups: dict[tuple[str, str], list[str]] = {}
@@ -113,16 +113,16 @@ class Forms:
             self.proto |= {ord(ch): head for ch in members if ch != head}
         self.spell.pop("LATIN", None)
         self.readable = {ch: frozenset(s) for ch, s in readable.items()}
-        # only texts with a letter of another script, or one that stands for another, can be spelled in two ways
-        self.ambiguous = _class_of({ch for ch in skeletons if script_of(ch) in self.spell} | set(map(chr, self.proto)))
+        # what can be spelled in two ways has a letter that looks like another, beyond ASCII, or one of a
+        # script that could have spelled an ASCII letter
+        like_ascii = {s for s, m in self.spell.items() if min(m) < 128}
+        self.ambiguous = _class_of({ch for ch in skeletons if script_of(ch) in like_ascii} | set(map(chr, self.proto)) | {ch for ch in readable if not ch.isascii()})
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
     def token_scripts(self, prototypes: str) -> frozenset[str] | None:
         """Scripts in which a token of this look can be spelled whole; None if it has no letters."""
-        if prototypes in self.known:
-            return self.known[prototypes]
         common: frozenset[str] | None = None
         for ch in prototypes:
             own = self.readable.get(ch)
@@ -132,28 +132,37 @@ class Forms:
                     continue
                 own = frozenset({script})
             common = own if common is None else common & own
-        if len(self.known) > 100_000:
-            self.known.clear()
-        self.known[prototypes] = common
         return common
 
+    def _judged(self, token: str) -> tuple[tuple[str, ...], str | None]:
+        """Scripts a token can be spelled in, and its spelling where the text around it does not matter."""
+        known = self.known.get(token)
+        if known is None:
+            scripts = tuple(sorted(self.token_scripts(token) or ()))
+            if len(scripts) > 1:
+                spelled = None
+            else:  # where no script spells it whole: that of most of its unmistakable letters, as far as it goes
+                to = self.spell.get(scripts[0] if scripts else _most(Counter(s for c in token if c not in self.readable and (s := script_of(c)))))
+                spelled = token.translate(to) if to else token
+            if len(self.known) > 200_000:
+                self.known.clear()
+            known = self.known[token] = scripts, spelled
+        return known
+
     def resolve(self, text: str) -> str:
         """Rewrites every token of a decomposed text in a consistent script."""
         plain = text.translate(self.proto)
-        tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(plain)]
-        common = [self.token_scripts(t) for _, _, t in tokens]
+        tokens = [(m, *self._judged(m[0])) for m in _TOKEN.finditer(plain)]
         # tokens of one possible script decide for those of several; without any, Latin is taken
-        votes = Counter(next(iter(s)) for s in common if s is not None and len(s) == 1)
+        votes = Counter(scripts[0] for _, scripts, _ in tokens if len(scripts) == 1)
         out, at = [], 0
-        for (start, end, token), scripts in zip(tokens, common, strict=True):
-            out.append(plain[at:start])
-            at = end
-            if scripts:
-                script = _most(Counter({s: votes[s] for s in scripts}))
-            else:  # no script spells it whole: that of most of its unmistakable letters, as far as it goes
-                script = _most(Counter(s for c in token if c not in self.readable and (s := script_of(c))))
-            to = self.spell.get(script)
-            out.append(token.translate(to) if to else token)
+        for m, scripts, spelled in tokens:
+            out.append(plain[at : m.start()])
+            at = m.end()
+            if spelled is None:
+                to = self.spell.get(min(scripts, key=lambda s: (-votes[s], s != "LATIN", s)))
+                spelled = m[0].translate(to) if to else m[0]
+            out.append(spelled)
         out.append(plain[at:])
         return "".join(out)
 
