@@ -25,6 +25,12 @@ _VALUE = rf"(?:{_STRING}|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|t
 # a value with what follows it; an opened object or array has its own members to come first
 _ITEM = re.compile(rf"{_SPACE}{_VALUE}{_SPACE}([,\]}}]?)").match
 _MEMBER = re.compile(rf"{_SPACE}{_STRING}{_SPACE}:{_SPACE}{_VALUE}{_SPACE}([,\]}}]?)").match
+# an element that is an object of scalars without escapes, as most are: read whole, its members in one go
+_FLAT_STRING = r'"[^"\\\x00-\x1f]*"'
+_SCALAR = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null"
+_PAIR = rf"{_SPACE}{_FLAT_STRING}{_SPACE}:{_SPACE}(?:{_FLAT_STRING}|{_SCALAR}){_SPACE}"
+_FLAT = re.compile(rf"{_SPACE}\{{({_PAIR}(?:,{_PAIR})*|{_SPACE})\}}{_SPACE}([,\]}}]?)").match
+_PAIRS = re.compile(rf'"([^"]*)"{_SPACE}:{_SPACE}(?:"([^"]*)"|([^\s,]+))').findall
 _CLOSE = re.compile(rf"{_SPACE}([\]}}])").match
 _AFTER = re.compile(rf"{_SPACE}([,\]}}]?)").match
 _END = re.compile(rf"{_SPACE}\Z").match
@@ -75,11 +81,12 @@ class _Object:
 class _Array:
     """An open array: its name and the object that holds it, or else the array element that it is."""
 
-    __slots__ = ("count", "element", "name", "object", "places")
+    __slots__ = ("count", "element", "name", "object", "places", "shown")
 
     def __init__(self, name: str, holder: _Object | None, element: _Element | None) -> None:
         self.name, self.object, self.element, self.count = name, holder, element, 0
         self.places: dict[str, str] = {}
+        self.shown: tuple[str, str, str] | None = None  # group, path and parent of its elements, once asked for
 
     def holder(self) -> _Object | None:
         """The object that holds it; of an array within an array, that of the outer one."""
@@ -149,14 +156,18 @@ def stream(body: str, wanted: Callable[[str | None, str], bool] = lambda array,
         kind = "object" if opened == "{" else "array" if opened == "[" else "scalar"
         return _Element(above, above.count if above else 0, {} if wanted(above and above.name, kind) else None)
 
+    def give(above: _Array, ordinal: int, kind: str, members: dict) -> None:
+        if above.shown is None:
+            above.shown = _shown(_place(above, False) + "[]"), _place(above, True).removeprefix("."), _shown(_place(above.holder(), True))
+        group, path, parent = above.shown
+        out.append((group, above.name, f"{path}[{ordinal}]", parent, ordinal, kind, list(members.items())))
+
     def end(e: _Element, kind: str) -> None:
-        if e.members is None:
-            return
-        above, members = e.above, list(e.members.items())
-        if above is None:
-            out.append(("$", "", "$", "", 0, kind, members))
-        else:
-            out.append((_shown(_place(above, False) + "[]"), above.name, _shown(f"{_place(above, True)}[{e.ordinal}]"), _shown(_place(above.holder(), True)), e.ordinal, kind, members))
+        if e.members is not None:
+            if e.above is None:
+                out.append(("$", "", "$", "", 0, kind, list(e.members.items())))
+            else:
+                give(e.above, e.ordinal, kind, e.members)
 
     def scalar(text: str | None, other: str) -> str | None:
         return _plain(text) if text is not None else None if other == "null" else other
@@ -192,6 +203,11 @@ def stream(body: str, wanted: Callable[[str | None, str], bool] = lambda array,
                 if top.element.members is not None:
                     top.element.members[name if top.name is None else top.prefix() + name] = scalar(text, other)
                 pos = m.end()
+        elif (m := _FLAT(body, pos)) is not None:
+            if wanted(top.name, "object"):
+                give(top, top.count, "object", {k: t if not x else None if x == "null" else x for k, t, x in _PAIRS(m[1])})
+            top.count += 1
+            after, pos = m[2], m.end()
         else:
             m = _ITEM(body, pos)
             if m is not None:
