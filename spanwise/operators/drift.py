@@ -9,6 +9,8 @@ projects typed columns from the maps, each file's members being those its rename
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +119,11 @@ def _words(name: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2")), r"[_.\s-]+"), lambda x: x != "")
 
 
+def _spelled(name: str) -> str:
+    """:func:`_words` of a name that is at hand, joined."""
+    return "_".join(w for w in re.split(r"[_.\s-]+", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower()) if w)
+
+
 def _scores(grid: DataFrame, members: DataFrame) -> DataFrame:
     """Scores of each removed member against each added one of the same file.
 
@@ -243,8 +250,9 @@ def field_members(drops: DataFrame, lines: DataFrame, fields: dict[str, tuple[li
 
     The fields of a file are chained along the feed by the renames that ``schema_changes`` reports;
     ``rank`` is the place of the seed name that the chain leads to. A feed's rows, one per file and
-    field, are chained in one task. A name that the feed's own renames do not explain means what it
-    means in most files of other feeds (ties: first by name), with ``rank`` after all seeds.
+    field, are chained in one task. A name that the feed's own renames do not explain, but that has the
+    words of a seed (such as in camel case), means that seed; any other means what it means in most
+    files of other feeds (ties: first by name). Both have a ``rank`` after all seeds.
     """
     seed = {m: (name, rank) for name, (members, _) in reversed((fields or FIELD_NAMES).items()) for rank, m in reversed(list(enumerate(members)))}
     members = line_members(lines)
@@ -265,8 +273,11 @@ def field_members(drops: DataFrame, lines: DataFrame, fields: dict[str, tuple[li
     per_file = materialize(rows.groupBy("feed").applyInArrow(one_feed, schema))
     votes = per_file.groupBy("member", "field").agg(F.count("*").alias("n"))
     meant = votes.groupBy("member").agg(F.max_by("field", F.struct("n", F.negative(F.ascii("field")).alias("order"), "field")).alias("field"))
-    others = members.filter("member IS NOT NULL").select(*FILE, "member").distinct().join(meant, "member").select(*FILE, "field", F.lit(len(seed)).alias("rank"), "member")
-    both = per_file.unionByName(others).groupBy(*FILE, "member").agg(F.min(F.struct("rank", "field")).alias("f"))
+    names = members.filter("member IS NOT NULL").select(*FILE, "member").distinct().filter(~F.col("member").isin(*seed))
+    by_words = F.create_map(*[F.lit(x) for pair in {_spelled(m): field for m, (field, _) in seed.items()}.items() for x in pair])
+    alike = names.select(*FILE, F.try_element_at(by_words, F.array_join(_words(F.col("member")), "_")).alias("field"), F.lit(len(seed)).alias("rank"), "member").filter("field IS NOT NULL")
+    others = names.join(meant, "member").select(*FILE, "field", F.lit(len(seed) + 1).alias("rank"), "member")
+    both = per_file.unionByName(alike).unionByName(others).groupBy(*FILE, "member").agg(F.min(F.struct("rank", "field")).alias("f"))
     return both.select(*FILE, "f.field", "f.rank", "member")
 
 

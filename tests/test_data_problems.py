@@ -222,6 +222,13 @@ def test_consistent_table_follows_renames(spark):
     assert sorted(by) == list("12345678")
 
 
+def test_names_spelled_otherwise(spark):
+    """A feed that never renames a member: its words are those of a seed, or it stays in the rest."""
+    df = drops(spark, [("f", "a", 1, [line(id=1, channelUrl="u", isLive=True, someLink="x"), line(id=2, channelUrl="v")])])
+    rows = sorted(map(tuple, consistent_table(df).select("id", "channel_url", "is_live", "rest").collect()))
+    assert rows == [("1", "u", True, {"someLink": "x"}), ("2", "v", None, {})]
+
+
 def test_fields_are_told_apart_by_feed(spark):
     """One file name in two feeds; an empty object counts as a line."""
     df = drops(spark, [("f", "a", 1, [line(id=1, x=1)]), ("g", "a", 1, [line(id=1, y="1"), "{}", "{}"]), ("f", "b", 2, [line(id=1, x="1")]), ("g", "b", 2, [line(id=1, y=1)])])
