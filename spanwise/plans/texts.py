@@ -87,16 +87,19 @@ def position_prior(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cold_open_echo(spark: SparkSession, d: str) -> DataFrame:
-    return captions.cold_open_echoes(*_usable(captions.prepare(caption_cues(spark, d))))
+    return _opening(caption_cues(spark, d))
 
 
-def _usable(prepared: captions.Prepared) -> captions.Prepared:
-    return prepared._replace(items=prepared.items.filter(F.col("cues") >= captions.CFG.least_cues))
+def _opening(cues: DataFrame) -> DataFrame:
+    """Echoes need no markers: cues are only cleaned, and kept for both that read them."""
+    clean = materialize(captions.clean_cues(cues).select("item_id", "cue_idx", "start_ms", "end_ms", captions.normalise(F.col("text")).alias("norm")))
+    items = clean.groupBy("item_id").agg(F.count("*").alias("cues"), F.max("end_ms").alias("duration_ms"))
+    return captions.cold_open_echoes(clean, items.filter(F.col("cues") >= captions.CFG.least_cues))
 
 
 def cold_open_documents(spark: SparkSession, d: str) -> DataFrame:
     """The same on the documents, which have no usable word repeated across their length by design."""
-    return captions.cold_open_echoes(*_usable(captions.prepare(document_cues(spark, d))))
+    return _opening(document_cues(spark, d))
 
 
 def forward_windows(spark: SparkSession, d: str) -> DataFrame:
